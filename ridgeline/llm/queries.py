@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import simhash
+from ridgeline.llm import licenses, simhash, topk, urls
 from ridgeline.llm.common import prepare, table
 
 
@@ -16,8 +16,67 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors of each vector whose id is divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+# The rules of op7.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, longest fitting rule and verdict."""
+    return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_topk": op3_topk,
+    "op4_licenses": op4_licenses,
+    "op7_urls": op7_urls,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+        )
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+    "op7_urls": """
+        WITH rules(rule, verdict) AS (
+            VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')
+        ), r AS (
+            SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS p FROM rules
+        ), u AS (
+            SELECT row_number() OVER () AS n, page_id, url,
+                   CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), a AS (
+            SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), b AS (
+            SELECT a.n, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+            FROM a JOIN r ON (a.host = r.h OR ends_with(a.host, '.' || r.h)) AND starts_with(a.path, r.p)
+            GROUP BY a.n
+        )
+        SELECT a.page_id, a.host, a.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM a LEFT JOIN b USING (n)
+    """,
+}
