@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,23 +66,25 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     words = pages.sparkSession.sparkContext.broadcast(bloom(listed))
     lengths = sorted(r[0] for r in listed.select(F.length(F.regexp_extract("key", r"^[^/]*(.*)$", 1))).distinct().collect())
 
-    @F.pandas_udf("array<string>")
-    def possible(keys: pd.Series, hashes: pd.Series) -> pd.Series:
-        sizes = hashes.map(len).to_numpy()
-        flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes]) if sizes.sum() else np.empty(0, dtype=np.int64)
-        block, bits = places(flat, len(words.value))
-        hit = (words.value[block] & bits == bits).all(axis=1)
-        return pd.Series([list(k[h]) for k, h in zip(keys, np.split(hit, np.cumsum(sizes)[:-1]), strict=True)])
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *kept, keys, hashes = b.columns
+            block, bits = places(np.asarray(hashes.flatten()).astype(np.int64), len(words.value))
+            hit = (words.value[block] & bits == bits).all(axis=1)
+            row = np.repeat(np.arange(len(keys)), np.asarray(keys.value_lengths()))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(keys)))])
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), keys.flatten().filter(pa.array(hit)))], names=["page_id", "url", "host", "path", "keys"])
 
     at = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)).cast("array<string>"), lambda p: p.isNotNull())
     keys = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))).otherwise(F.array().cast("array<string>"))
-    at = at.withColumn("keys", keys).withColumn("keys", possible("keys", F.transform("keys", lambda k: F.xxhash64(k))))
+    at = at.withColumn("keys", keys).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
+    at = at.mapInArrow(possible, "page_id long, url string, host string, path string, keys array<string>")
     some = F.size("keys") > 0
     # Verdicts depend on the url alone: each distinct one is joined once, so that copies of a url cost nothing here.
-    fits = at.where(some).select("url", F.explode_outer("keys").alias("key")).distinct().join(listed, "key")
+    fits = at.where(some).select("url", F.explode("keys").alias("key")).distinct().join(listed, "key")
     best = fits.groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), "key", "found")).alias("m")).select("url", F.col("m.key").alias("rule"), F.col("m.found").alias("found"))
     hit = at.where(some).join(best, "url", "left")
     rest = at.where(~some).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
