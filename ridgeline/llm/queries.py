@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ridgeline.llm import licenses, simhash, topk, urls
+from ridgeline.llm import licenses, packing, simhash, topk, urls
 from ridgeline.llm.common import prepare, table
 
 
@@ -35,11 +35,17 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_topk": op3_topk,
     "op4_licenses": op4_licenses,
     "op7_urls": op7_urls,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
