@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm import licenses, packing, simhash, topk, urls
+from ridgeline.llm import licenses, packing, simhash, substrings, topk, urls
 from ridgeline.llm.common import prepare, table
 
 
@@ -26,6 +27,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 20-word windows."""
+    found = substrings.dedup(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # The rules of op7.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -44,6 +51,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_topk": op3_topk,
     "op4_licenses": op4_licenses,
+    "op6_substrings": op6_substrings,
     "op7_urls": op7_urls,
     "op10_packing": op10_packing,
 }
@@ -51,13 +59,13 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id
             WHERE q.vec_id % 50 = 0
         ), r AS (
@@ -65,6 +73,27 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
     """,
+    "op6_substrings": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents
+        ), w AS (
+            SELECT r, doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win
+            FROM d, unnest(range(1, len(ws) - 18)) AS t(i)
+            WHERE doc_id IS NOT NULL
+        ), f AS (
+            SELECT r, i, rank() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w
+        ), g AS (
+            SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM f WHERE n > 1
+        ), t AS (
+            SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d
+        ), k AS (
+            SELECT t.r, count(g.p) AS gone, string_agg(t.word, ' ' ORDER BY t.p) FILTER (WHERE g.p IS NULL) AS kept
+            FROM t LEFT JOIN g ON t.r = g.r AND t.p = g.p GROUP BY t.r
+        )
+        SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)
+    """,
     "op7_urls": """
         WITH rules(rule, verdict) AS (
             VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')
