@@ -7,13 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Documents can be long, so batches are kept short.
-ARROW_ROWS = 512
+#: Bytes in one Arrow batch, as documents can be long.
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches, and sets a checkpoint folder where the cluster names none (as in tests)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-"))

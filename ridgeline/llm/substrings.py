@@ -136,17 +136,21 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches, cut where the first `keys` columns change, so that no run is split."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+    rows = 0
     for b in batches:
-        now = [np.asarray(c).astype(np.int64) for c in b.columns]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        other = np.flatnonzero(np.any([c != c[-1] for c in held[:keys]], axis=0))
-        if len(other) and len(held[0]) >= 100_000:
-            cut = other[-1] + 1
-            yield [c[:cut] for c in held]
-            held = [c[cut:] for c in held]
-    if held is not None and len(held[0]):
-        yield held
+        held.append([np.asarray(c).astype(np.int64) for c in b.columns])
+        rows += b.num_rows
+        if rows < 100_000:
+            continue
+        all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
+        other = np.flatnonzero(np.any([c != c[-1] for c in all_[:keys]], axis=0))
+        cut = other[-1] + 1 if len(other) else 0
+        if cut:
+            yield [c[:cut] for c in all_]
+        held, rows = [[c[cut:] for c in all_]], len(all_[0]) - cut
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
