@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import hmm, licenses, packing, simhash, substrings, topk, urls
+from ridgeline.llm import hmm, licenses, packing, simhash, substrings, topk, toxicity, urls
 from ridgeline.llm.common import prepare, table
 
 
@@ -42,6 +42,11 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's unigram and hidden-Markov-model log likelihoods."""
     return hmm.score(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op6_substrings": op6_substrings,
     "op7_urls": op7_urls,
+    "op8_toxicity": op8_toxicity,
     "op9_hmm": op9_hmm,
     "op10_packing": op10_packing,
 }
