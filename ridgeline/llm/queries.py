@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import hmm, licenses, packing, simhash, substrings, topk, toxicity, urls
+from ridgeline.llm import hmm, language, licenses, packing, simhash, substrings, topk, toxicity, urls
 from ridgeline.llm.common import prepare, table
 
 
@@ -27,6 +27,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language."""
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 20-word windows."""
     found = substrings.dedup(table(spark, sf_dir, "documents"), window=20)
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_topk": op3_topk,
     "op4_licenses": op4_licenses,
+    "op5_language": op5_language,
     "op6_substrings": op6_substrings,
     "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
