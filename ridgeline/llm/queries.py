@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import hmm, language, licenses, packing, simhash, substrings, topk, toxicity, urls
+from ridgeline.llm import decontamination, hmm, language, licenses, packing, simhash, substrings, topk, toxicity, urls
 from ridgeline.llm.common import prepare, table
 
 
@@ -17,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which at least half the words lie under tiles."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best other vectors of each vector whose id is divisible by 50."""
     return topk.search(table(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
     "op3_topk": op3_topk,
     "op4_licenses": op4_licenses,
     "op5_language": op5_language,
