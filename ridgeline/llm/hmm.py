@@ -198,7 +198,13 @@ class Words:
 
 def words_in(tally: DataFrame) -> Words:
     """Reads the tally's sums: as many rows as the model has symbols."""
-    best = tally.where("kind = 1").select("n", "a").orderBy(F.desc("n"), "a").limit(TOP).collect()
+    words = tally.where("kind = 1").select("n", "a", F.floor(F.log2("n") * 16).alias("size"))
+    enough, least = 0, 0
+    for r in sorted(words.groupBy("size").count().collect(), reverse=True):
+        enough, least = enough + r["count"], r.size
+        if enough >= TOP:
+            break
+    best = words.where(F.col("size") >= least).orderBy(F.desc("n"), "a").limit(TOP).collect()
     tokens, kinds = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
     for r in tally.where("kind = 2").groupBy("number").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect():
         tokens[r.number], kinds[r.number] = r.n, r.m

@@ -169,3 +169,16 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognized(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is told with a probability of `least` or more."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sent.value.predict(t) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([x != UNKNOWN and p >= least for x, p in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -234,3 +234,12 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 4, ag
 def hex_of(column: str):
     """16 lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the least of their group; how: as for groups().
+
+    A row that repeats another in doc_id and text goes; rows without a doc_id cannot be named and stay.
+    """
+    ids = groups(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))

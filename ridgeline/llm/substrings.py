@@ -217,7 +217,7 @@ def kept_words(words: list[bytes], spans: np.ndarray, window: int) -> list[bytes
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """docs as (doc_id, v, text, ...) dealt by document, and (doc_id, v, spans) with the packed spans of repeated windows."""
+    """docs, with __v, dealt by document, and (doc_id, __v, __spans) with the packed spans of repeated windows."""
     prepare(docs.sparkSession)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -225,8 +225,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataF
         for t in _chunks(batches):
             yield _batch(paths([words_of(x) for x in t.column("text").to_pylist()], _long(t.column("doc_id")), _long(t.column("v")), window, k), ["key", "body", "doc_id", "packed"])
 
-    rows = docs.withColumn("v", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)))
-    named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "v", "text")
+    rows = docs.withColumn("__v", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)))
+    named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("__v").alias("v"), "text")
     version = F.shiftright("packed", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("v")
     compact = (
         named.mapInArrow(found, "key long, body long, doc_id long, packed long")
@@ -236,9 +236,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataF
     )
     of_kind = lambda kind: F.collect_list(F.when(F.col("packed").bitwiseAND(F.lit(3)) == kind, F.col("packed")))
     told = checkpoint(compact.groupBy("doc_id", version).agg(of_kind(REPEAT).alias("spans"), of_kind(OPEN).alias("opened")))
-    dealt = rows.repartition(parts, "doc_id", "v")
+    dealt = rows.repartition(parts, "doc_id", "__v")
     windows = (
-        dealt.select("doc_id", "v", "text")
+        dealt.select("doc_id", F.col("__v").alias("v"), "text")
         .join(told.where(F.size("opened") > 0).select("doc_id", "v", "opened"), ["doc_id", "v"])
         .mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, packed long")
         .repartition(parts, "h1")
@@ -246,7 +246,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataF
         .mapInArrow(_later, "doc_id long, packed long")
     )
     more = windows.groupBy("doc_id", version).agg(F.collect_list("packed").alias("spans"))
-    spans = told.select("doc_id", "v", "spans").union(more).groupBy("doc_id", "v").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = told.select("doc_id", "v", "spans").union(more).groupBy("doc_id", F.col("v").alias("__v")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
     return dealt, spans
 
 
@@ -263,12 +263,39 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [words_of(x) for x in b.column("text").to_pylist()]
-            kept = [kept_words(w, np.array(s or (), dtype=np.int64), window) for w, s in zip(words, b.column("spans").to_pylist(), strict=True)]
+            kept = [kept_words(w, np.array(s or (), dtype=np.int64), window) for w, s in zip(words, b.column("__spans").to_pylist(), strict=True)]
             counts, left = [len(w) for w in words], [len(x) for x in kept]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array([n - m for n, m in zip(counts, left, strict=True)], pa.int64()), pa.array([b" ".join(x).decode() for x in kept], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return dealt.join(spans, ["doc_id", "v"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return dealt.join(spans, ["doc_id", "__v"], "left").select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
+    """The rows of docs, all columns, their text being what dedup() keeps and n_chars, if there, its length.
+
+    Texts without repeats stay as they are, to the byte. Rows of which nothing is left go.
+    """
+    dealt, spans = repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), window, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            texts = t.column("text").to_pylist()
+            keep = [True] * len(texts)
+            for i, s in enumerate(t.column("__spans").to_pylist()):
+                if s:
+                    texts[i] = b" ".join(kept_words(words_of(texts[i]), np.array(s, dtype=np.int64), window)).decode()
+                    keep[i] = bool(texts[i])
+            t = t.set_column(t.column_names.index("text"), "text", pa.array(texts, pa.string())).drop_columns(["__spans"])
+            if "n_chars" in t.column_names:
+                at = t.column_names.index("n_chars")
+                n = [old if not s else len(x) for x, s, old in zip(texts, b.column("__spans").to_pylist(), t.column("n_chars").to_pylist(), strict=True)]
+                t = t.set_column(at, "n_chars", pa.array(n, t.schema.field(at).type))
+            yield from t.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
+
+    joined = dealt.join(spans, ["doc_id", "__v"], "left").select(*docs.columns, "__spans")
+    return joined.mapInArrow(run, joined.drop("__spans").schema)
