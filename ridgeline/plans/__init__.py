@@ -1 +1 @@
-
+"""Operators put together: reports, the run, registered queries."""

@@ -1 +1 @@
-
+"""Readers, writers and seeded inputs."""

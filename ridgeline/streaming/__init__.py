@@ -1 +1 @@
-
+"""The forecasting workload is batch alone: it has no streaming source, watermark or state to offer."""
