@@ -22,9 +22,12 @@ from ridgeline.llm.common import prepare
 BUCKETS, SHORT, LONG, DIMENSIONS, SEED = 1 << 17, 3, 6, 8, 11
 #: Labelled rows of each label that training reads at most (about, by a hash of the id; twice that is a hard bound).
 SAMPLE = 3000
-EPOCHS, BATCH, RATE = 5, 16, 1.5
+EPOCHS, BATCH, RATE = 8, 16, 1.5
 #: N-grams that fewer of the sampled texts have stay without a vector.
-LEAST_TEXTS = 4
+LEAST_TEXTS = 3
+#: Pieces that each sampled text of label 0 adds, as short texts of label 0, and their lengths in words: any
+#: part of a harmless text is harmless, and without them the model is rash about short texts. All pieces of a text weigh as much as it.
+PIECES, PIECE_WORDS = 4, (3, 6, 12, 24)
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -67,6 +70,16 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return some.astype(np.int32), all_[some].astype(np.float32)
 
 
+def pieces(doc_id: int, text: str | None) -> list[str]:
+    """Random runs of a text's words, the same ones for a doc_id whenever drawn."""
+    words, rng = (text or "").split(), np.random.default_rng((SEED, doc_id & (2**64 - 1)))
+    out = []
+    for n in rng.choice(PIECE_WORDS, PIECES):
+        at = int(rng.integers(max(1, len(words) - n + 1)))
+        out.append(" ".join(words[at : at + n]))
+    return out
+
+
 @dataclass
 class Model:
     shares: np.ndarray  # of each bucket: what its vector adds to the margin of label 1
@@ -138,20 +151,25 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [bag(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["doc_id", "label", "ids", "weights"])
+            rows = [(doc, label, 0, text) for doc, text, label in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows += [(doc, 0, k + 1, piece) for doc, label, _, text in rows if label == 0 for k, piece in enumerate(pieces(doc, text))]
+            found = [bag(r[3]) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())],
+                names=["doc_id", "label", "piece", "ids", "weights"],
+            )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((tuple(x) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[2]))
+        rows = sorted((tuple(x) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[2], r[3]))
         if rows:
             y = np.array([r[1] for r in rows])
-            got = np.bincount(y, minlength=2)
-            weights = np.array([sizes.get(k, 0) / max(1, got[k]) for k in (0, 1)])[y]
-            m = fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], y, weights / weights.mean())
+            got = np.bincount([r[1] for r in rows if r[2] == 0], minlength=2)
+            weights = np.array([sizes.get(k, 0) / max(1, got[k]) for k in (0, 1)])[y] / np.array([PIECES if r[2] else 1 for r in rows])
+            m = fit([(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in rows], y, weights / weights.mean())
             yield pa.RecordBatch.from_arrays([pa.array([m.shares.tobytes()]), pa.array([m.bias])], names=["shares", "bias"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(bags, "doc_id long, label int, ids binary, weights binary")
-    fitted = rows.limit(4 * SAMPLE).repartition(1).mapInArrow(learn, "shares binary, bias double").collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(bags, "doc_id long, label int, piece int, ids binary, weights binary")
+    fitted = rows.limit(4 * SAMPLE * (1 + PIECES)).repartition(1).mapInArrow(learn, "shares binary, bias double").collect()
     return Model(np.frombuffer(fitted[0].shares), fitted[0].bias) if fitted else Model(np.zeros(BUCKETS), -40.0)
 
 
