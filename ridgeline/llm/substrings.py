@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,10 +176,13 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches):
+            t = t.filter(pc.greater(pc.fill_null(pc.list_value_length(t.column("__opened")), 0), 0))
+            if not t.num_rows:
+                continue
             texts = [words_of(x) for x in t.column("text").to_pylist()]
-            doc, v = _long(t.column("doc_id")), _long(t.column("v"))
+            doc, v = _long(t.column("doc_id")), _long(t.column("__v"))
             h, starts = _hashes(texts)
-            spans = [np.array(p, dtype=np.int64) for p in t.column("opened").to_pylist()]
+            spans = [np.array(p, dtype=np.int64) for p in t.column("__opened").to_pylist()]
             row = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
             packed = np.concatenate(spans)
             n = packed >> 2 & 63
@@ -237,9 +241,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataF
     of_kind = lambda kind: F.collect_list(F.when(F.col("packed").bitwiseAND(F.lit(3)) == kind, F.col("packed")))
     told = checkpoint(compact.groupBy("doc_id", version).agg(of_kind(REPEAT).alias("spans"), of_kind(OPEN).alias("opened")))
     dealt = rows.repartition(parts, "doc_id", "__v")
+    # A left join, rows without opened paths leaving in Python, and all columns: so the texts are dealt out as they are
+    # for the other join, and Spark shuffles them once for both.
     windows = (
-        dealt.select("doc_id", F.col("__v").alias("v"), "text")
-        .join(told.where(F.size("opened") > 0).select("doc_id", "v", "opened"), ["doc_id", "v"])
+        dealt.join(told.where(F.size("opened") > 0).select("doc_id", F.col("v").alias("__v"), F.col("opened").alias("__opened")), ["doc_id", "__v"], "left")
         .mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, packed long")
         .repartition(parts, "h1")
         .sortWithinPartitions("h1", "h2", "doc_id", "packed")
