@@ -83,6 +83,17 @@ def _pack(at: np.ndarray, v: np.ndarray, n: np.ndarray | int, kind: np.ndarray |
     return at.astype(np.int64) << 32 | v.astype(np.int64) << 8 | np.asarray(n, dtype=np.int64) << 2 | kind
 
 
+def _after(fresh: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a row of a run (fresh where one begins) stands after the run's first; repeated rows stand at one place."""
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+    return (doc != doc[first]) | (at != at[first])
+
+
+def _again(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row equals the one before it."""
+    return np.concatenate([[False], np.all([c[1:] == c[:-1] for c in columns], axis=0)])
+
+
 def paths(texts: list[list[bytes]], doc: np.ndarray, v: np.ndarray, window: int, k: int) -> list[np.ndarray]:
     """Rows (key, body, doc, packed) of the paths of a chunk of documents."""
     h, starts = _hashes(texts)
@@ -103,13 +114,14 @@ def paths(texts: list[list[bytes]], doc: np.ndarray, v: np.ndarray, window: int,
     key = kmers[spot].view(np.int64)
     body = _mixed(runs(at, at + n + window - 1) ^ (n.astype(np.uint64) << np.uint64(8)) ^ (spot - at).astype(np.uint64)).view(np.int64)
     row, at = of[at], at - starts[of[at]]
-    order = np.lexsort((at, doc[row], body, key))
+    order = np.lexsort((v[row], at, doc[row], body, key))
+    order = order[~_again(*(c[order] for c in (key, body, doc[row], at, v[row])))]
     key, body, row, at, n = key[order], body[order], row[order], at[order], n[order]
     fresh_key = np.concatenate([[True], key[1:] != key[:-1]])
     fresh = fresh_key | np.concatenate([[True], body[1:] != body[:-1]])
     branch = np.cumsum(fresh)
     branch -= branch[fresh_key][np.cumsum(fresh_key) - 1]
-    kind = np.where(~fresh, REPEAT, np.where(branch >= 2, OPEN, FIRST))
+    kind = np.where(_after(fresh, doc[row], at), REPEAT, np.where(branch >= 2, OPEN, FIRST))
     key = np.where(kind == FIRST, key, _mixed(doc[row].view(np.uint64)).view(np.int64))
     return [key, body, doc[row], _pack(at, v[row], n, kind)]
 
@@ -166,7 +178,7 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = fresh_key | np.concatenate([[True], body[1:] != body[:-1]])
         group = np.cumsum(fresh_key) - 1
         branches = np.bincount(group, weights=fresh)[group]
-        kind = np.where(~fresh, REPEAT, np.where(branches > 1, OPEN, FIRST))
+        kind = np.where(_after(fresh, doc, packed >> 32), REPEAT, np.where(branches > 1, OPEN, FIRST))
         keep = kind != FIRST
         yield _batch([doc[keep], packed[keep] | kind[keep]], ["doc_id", "packed"])
 
@@ -190,9 +202,10 @@ def _windows(window: int):
             at = np.repeat(packed >> 32, n) + step
             begin = starts[row] + at
             h1, h2 = (Runs(h, base)(begin, begin + window).view(np.int64) for base in (_MIX, _MIX2))
-            order = np.lexsort((at, doc[row], h2, h1))
+            order = np.lexsort((v[row], at, doc[row], h2, h1))
+            order = order[~_again(*(c[order] for c in (h1, h2, doc[row], at, v[row])))]
             h1, h2, row, at = h1[order], h2[order], row[order], at[order]
-            same = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
+            same = _after(~_again(h1, h2), doc[row], at)
             h1 = np.where(same, _mixed(doc[row].view(np.uint64)).view(np.int64), h1)
             yield _batch([h1, h2, doc[row], _pack(at, v[row], 1, np.where(same, REPEAT, FIRST))], ["h1", "h2", "doc_id", "packed"])
 
@@ -206,7 +219,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([doc[told], packed[told]], ["doc_id", "packed"])
         h1, h2, doc, packed = (c[~told] for c in (h1, h2, doc, packed))
         if len(h1):
-            same = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
+            same = _after(~_again(h1, h2), doc, packed >> 32)
             yield _batch([doc[same], packed[same] | REPEAT], ["doc_id", "packed"])
 
 

@@ -64,3 +64,17 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text) for r in docs]
     assert ours(spark, rows) == brute(rows)
+
+
+def test_repeated_rows_keep_their_words(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(500)}"
+    base = [word() for _ in range(80)]
+    branched = [[*base[:40], *(word() for _ in range(40))] for _ in range(3)]
+    rows = [(1, " ".join(word() for _ in range(60)))] * 3 + [(2, "a " * 50)] * 2 + [(3, " ".join(base))] * 2
+    rows += [(4, " ".join(branched[0]))] * 2 + [(5, " ".join(branched[1])), (5, " ".join(branched[2])), (-1, " ".join(branched[1]))] * 2
+    for chunk in (substrings.CHUNK, 1):
+        monkeypatch.setattr(substrings, "CHUNK", chunk)
+        assert ours(spark, rows) == brute(rows)
+    kept = substrings.without_repeats(spark.createDataFrame(rows[:3], "doc_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == rows[:3]
