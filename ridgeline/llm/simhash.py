@@ -173,6 +173,8 @@ def links(prints: DataFrame, radius: int, total: int, blocks: int, agree: int, r
     fingerprints are distinct, that ends when the free bits tell BUCKET of them apart. So no task holds
     an unbounded group. Within a bucket only a spanning forest leaves the task, never all pairs.
     """
+    if min(blocks - agree, refine[0] - refine[1]) < radius:
+        raise ValueError(f"{radius} differing bits can touch more blocks than {blocks} with {agree} agreeing, or {refine} later, allow")
     spark, names = prints.sparkSession, prints.columns
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -87,3 +87,12 @@ def test_full_buckets_are_dealt_again(spark, monkeypatch):
 def test_extra_columns(spark):
     rows = [(1, "a b c d", "x", 5), (2, "a b c d", "y", 6)]
     assert [r[2] for r in ours(spark, rows, "doc_id long, text string, fp string, component_id int")] == [1, 1]
+
+
+def test_lossy_deals_are_refused(spark):
+    import pytest
+
+    prints = spark.createDataFrame([(1,), (3,)], "fp long")
+    for blocks, agree, refine in ((8, 2, (3, 1)), (20, 2, (3, 1))):
+        with pytest.raises(ValueError):
+            simhash.links(prints, 18, 52, blocks, agree, refine)
