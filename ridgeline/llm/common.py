@@ -1,22 +1,24 @@
-"""What the corpus operators share: shared-folder checkpoints, table access, components of a graph."""
+"""What the corpus operators share: shared-folder checkpoints, Arrow batches, components of a graph."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes in one Arrow batch, as documents can be long.
-ARROW_BYTES = 4 << 20
+#: Bytes in one Arrow batch, as documents can be long; bytes of text handled at once by a task that gathers batches.
+ARROW_BYTES, CHUNK = 4 << 20, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches, and sets a checkpoint folder where the cluster names none (as in tests)."""
+    """Bounds Arrow batches and takes the checkpoint folder that the cluster names; without one, as in tests, a folder in the warehouse, which is shared too."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -25,10 +27,92 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed_checkpoint(df: DataFrame) -> DataFrame:
+    """checkpoint() of rows in compressed Arrow batches, for tables of many narrow rows."""
+    schema = df.schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in b.column(0):
+                yield from pa.ipc.open_stream(rows.as_buffer())
+
+    return checkpoint(df.mapInArrow(pack, "rows binary")).mapInArrow(unpack, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(df: DataFrame) -> int:
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, underscored until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = 0) -> Iterator[pa.Table]:
+    """Batches put together to about `size` bytes (CHUNK if 0)."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= (size or CHUNK):
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def longs(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.to_numpy()).astype(np.int64)
+
+
+def batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 100_000) -> Iterator[pa.Table]:
+    """Sorted batches, put together to about `rows` rows and cut where the first `keys` columns (long) change, so that no run is split."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        other = np.flatnonzero(np.any([(c := longs(t.column(i))) != c[-1] for i in range(keys)], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield t.slice(0, cut)
+        t = t.slice(cut)
+        held, n = t.to_batches(), t.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """whole_runs() of columns that are all long."""
+    for t in whole_runs(batches, keys):
+        yield [longs(c) for c in t.columns]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b); component is the smallest node reachable.
 

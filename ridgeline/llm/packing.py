@@ -9,6 +9,7 @@ recomputed as a whole.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from tokenizers import Tokenizer
 from ridgeline.llm.common import checkpoint, prepare
 
 LENGTH, END = 1024, 2
+#: White space at a stretch that the fast encoder's backtracking expression still takes, by far; beyond, the file's own library encodes the text.
+STRETCH = 10_000
 #: Tokens that may be left over in a bin that is emitted early; pieces packed at once; bins in one merging task.
 NEARLY, BUFFER, MERGE = 8, 20_000, 50_000
 #: doc_id is there; doc_id, piece, start, length, crc32 of the ids.
@@ -35,7 +38,8 @@ class Encoder:
     """Ids of the tokenizer file at `path` (byte-level BPE), as little-endian 32-bit words, no special tokens added.
 
     The file's vocabulary, whose ids are its merge ranks, drives a faster encoder of the same ids. Texts in
-    which a special token is spelled out go to the file's own library, which gives that token's id.
+    which a special token is spelled out go to the file's own library, which gives that token's id, and so do
+    texts with STRETCH white-space characters at a stretch.
     """
 
     def __init__(self, path: str):
@@ -45,10 +49,11 @@ class Encoder:
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.special, self.whole = tuple(special), Tokenizer.from_file(path)
+        self.blank = re.compile(rf"\s{{{STRETCH}}}")
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= STRETCH and self.blank.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
 

@@ -1,18 +1,22 @@
 """Substring dedup by compaction of a de Bruijn graph of word k-mers.
 
-Windows of `window` words are paths over k-mers. Neighbouring windows of a document that share their
-minimizer (the k-mer of least hash, the leftmost of equals) form one path; where all its occurrences go
-on alike it does not branch and compacts to a single row. Equal windows have the same minimizer at the
-same place, so everything that can repeat meets in shuffles on the minimizer:
-
-1. Occurrences of one path (same minimizer, same words) compact to the earliest; all windows of the
-   others are repeats.
-2. Paths that share a minimizer but branch are opened into windows, once for each path; of equal
-   windows the earliest stays. Their words are read again at the source coordinates for that.
-
-A minimizer or window that is frequent costs each chunk of input at most two rows: what a chunk can tell
-by itself (later occurrences of its own paths and windows, third and further branches) travels dealt by
-document. Paths are identified by 64 bits of the minimizer and 64 of the words, windows by 128 bits.
+Each window of `window` words is a k-mer, and an edge from its first k-1 words to its last k-1. An edge is
+kept with its neighbours in the text (the edges one word before and after) and its source coordinates.
+Two neighbouring edges belong to one nonbranching path if in all occurrences the first goes on to the second
+and the second comes from the first; the ends of a document count as branches. So all occurrences of
+a path are parallel, and its earliest is a run of consecutive coordinates.
+
+1. Pruning. A window can only repeat if its minimizer (its short k-mer of least hash) does: minimizers
+   meet in one shuffle, and edges are made where they stand at two places or more.
+2. Edges meet by minimizer. Degrees are aggregated over an edge's occurrences (its one neighbour on either
+   side, or a branch), and paths compact inside their minimizer's bucket to segments.
+3. Segments of repeated edges are joined to the segments they go on to, and joined runs at
+   consecutive source coordinates are paths. Later occurrences of a path's first edge are joined to the path.
+4. Each later occurrence of a path is verified word by word against the text at the path's source coordinates.
+
+A hot minimizer or edge costs each chunk of input one row: occurrences after the chunk's first are verified
+and told in the chunk itself. Edges of minimizers that are hot in spite of that are dealt out by
+their own hash. Equal hashes of different windows only make more work: what is removed has been compared.
 """
 
 from __future__ import annotations
@@ -23,16 +27,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import checkpoint, prepare
+from ridgeline.llm.common import batch, checkpoint, chunks, fresh, longs, mixed, packed_checkpoint, parts_of, prepare, sorted_runs, whole_runs
 
-WINDOW, KMER = 20, 6
+WINDOW, MINIMIZER = 20, 6
 #: Bytes of text handled at once by a task.
 CHUNK = 8 << 20
-FIRST, REPEAT, OPEN = 0, 1, 2
-_MIX, _MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Occurrences from which a minimizer is hot, and how many minimizers can be so (the hottest).
+HOT, HOTTEST = 4096, 1 << 16
+#: In place of a neighbouring edge: the text ends, or occurrences go on differently.
+END, BRANCH = 0, 1
+ASK, ALIVE, TOLD, SEGMENT, LATER = range(5)
+_MIX = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,15 +48,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 class Runs:
     """Hashes of any run of items: sums of item hashes times powers of an odd number, taken back to the run's start."""
 
-    def __init__(self, h: np.ndarray, base: int):
+    def __init__(self, h: np.ndarray, base: int = _MIX):
         def powers(b: int) -> np.ndarray:
             out = np.full(len(h) + 1, b & (2**64 - 1), dtype=np.uint64)
             out[0] = 1
@@ -57,8 +60,8 @@ class Runs:
         self.back = powers(pow(base, -1, 2**64))
         self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(h * powers(base)[:-1])])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
+    def __call__(self, start: np.ndarray, size: int) -> np.ndarray:
+        return mixed((self.sums[start + size] - self.sums[start]) * self.back[start])
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -72,203 +75,293 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def _hashes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text starts (and the last ends)."""
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-    return _mixed(np.fromiter((x for t in texts for x in map(xxhash.xxh3_64_intdigest, t)), dtype=np.uint64, count=int(starts[-1]))), starts
-
-
-def _pack(at: np.ndarray, v: np.ndarray, n: np.ndarray | int, kind: np.ndarray | int) -> np.ndarray:
-    """One word: start of the first window, 24 bits of the text's hash, number of windows, kind."""
-    return at.astype(np.int64) << 32 | v.astype(np.int64) << 8 | np.asarray(n, dtype=np.int64) << 2 | kind
-
-
-def _after(fresh: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a row of a run (fresh where one begins) stands after the run's first; repeated rows stand at one place."""
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-    return (doc != doc[first]) | (at != at[first])
-
-
-def _again(*columns: np.ndarray) -> np.ndarray:
-    """Whether a row equals the one before it."""
-    return np.concatenate([[False], np.all([c[1:] == c[:-1] for c in columns], axis=0)])
-
-
-def paths(texts: list[list[bytes]], doc: np.ndarray, v: np.ndarray, window: int, k: int) -> list[np.ndarray]:
-    """Rows (key, body, doc, packed) of the paths of a chunk of documents."""
-    h, starts = _hashes(texts)
-    if len(h) < window:
-        return [np.empty(0, dtype=np.int64)] * 4
-    runs = Runs(h, _MIX)
-    kmers = runs(np.arange(len(h) - k + 1), np.arange(k, len(h) + 1))
-    low = _least(kmers, window - k + 1)
-    of = np.repeat(np.arange(len(texts)), np.diff(starts))
-    first = np.flatnonzero(of[: len(h) - window + 1] == of[window - 1 :])
-    if not len(first):
-        return [np.empty(0, dtype=np.int64)] * 4
-    low = low[first]
-    new = np.concatenate([[True], (low[1:] != low[:-1]) | (first[1:] != first[:-1] + 1) | (of[first[1:]] != of[first[:-1]])])
-    begin = np.flatnonzero(new)
-    n = np.diff(np.concatenate([begin, [len(first)]]))
-    at, spot = first[begin], low[begin]
-    key = kmers[spot].view(np.int64)
-    body = _mixed(runs(at, at + n + window - 1) ^ (n.astype(np.uint64) << np.uint64(8)) ^ (spot - at).astype(np.uint64)).view(np.int64)
-    row, at = of[at], at - starts[of[at]]
-    order = np.lexsort((v[row], at, doc[row], body, key))
-    order = order[~_again(*(c[order] for c in (key, body, doc[row], at, v[row])))]
-    key, body, row, at, n = key[order], body[order], row[order], at[order], n[order]
-    fresh_key = np.concatenate([[True], key[1:] != key[:-1]])
-    fresh = fresh_key | np.concatenate([[True], body[1:] != body[:-1]])
-    branch = np.cumsum(fresh)
-    branch -= branch[fresh_key][np.cumsum(fresh_key) - 1]
-    kind = np.where(_after(fresh, doc[row], at), REPEAT, np.where(branch >= 2, OPEN, FIRST))
-    key = np.where(kind == FIRST, key, _mixed(doc[row].view(np.uint64)).view(np.int64))
-    return [key, body, doc[row], _pack(at, v[row], n, kind)]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together to about CHUNK bytes."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= CHUNK:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+class Texts:
+    """A chunk's words: their places in the chunk's own vocabulary (equal if and only if the words are) and the hashes of runs."""
 
+    def __init__(self, texts: list[str | None], window: int, k: int):
+        split, vocabulary = [words_of(t) for t in texts], {}
+        sizes = np.array([len(t) for t in split], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in split for w in t), dtype=np.int64, count=int(self.starts[-1]))
+        hashes = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary)))
+        self.of, self.window = np.repeat(np.arange(len(split)), sizes), window
+        self.runs = Runs(hashes[self.words])
+        n = len(self.words)
+        self.short = self.runs(np.arange(max(0, n - k + 1)), k)
+        self.low = _least(self.short, window - k + 1) if n >= window else np.empty(0, dtype=np.int64)
 
-def _long(values: pa.ChunkedArray) -> np.ndarray:
-    return np.ascontiguousarray(values.to_numpy()).astype(np.int64)
+    def edges(self, begin: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that begin there, as signed longs other than END and BRANCH."""
+        h = self.runs(np.clip(begin, 0, len(self.words) - self.window), self.window)
+        return np.where(h < 2, h + np.uint64(2), h).view(np.int64)
 
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, number of windows, minimizer) of each run of a text's neighbouring windows with one minimizer."""
+        if not len(self.low):
+            return (np.empty(0, dtype=np.int64),) * 3
+        first = np.flatnonzero(self.of[: len(self.low)] == self.of[self.window - 1 :])
+        low = self.low[first]
+        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (first[1:] != first[:-1] + 1)])) if len(first) else first
+        return first[new], np.diff(np.concatenate([new, [len(first)]])), self.short[low[new]].view(np.int64)
 
-def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the windows that begin at a and b have the same words."""
+        out = np.ones(len(a), dtype=bool)
+        for j in range(self.window):
+            out &= self.words[a + j] == self.words[b + j]
+        return out
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut where the first `keys` columns change, so that no run is split."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
-    for b in batches:
-        held.append([np.asarray(c).astype(np.int64) for c in b.columns])
-        rows += b.num_rows
-        if rows < 100_000:
-            continue
-        all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
-        other = np.flatnonzero(np.any([c != c[-1] for c in all_[:keys]], axis=0))
-        cut = other[-1] + 1 if len(other) else 0
-        if cut:
-            yield [c[:cut] for c in all_]
-        held, rows = [[c[cut:] for c in all_]], len(all_[0]) - cut
-    if rows:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, body, doc, packed): repeats of a path, and paths to open."""
-    for key, body, doc, packed in _sorted_runs(batches, 1):
-        told = packed & 3 != FIRST
-        yield _batch([doc[told], packed[told]], ["doc_id", "packed"])
-        key, body, doc, packed = (c[~told] for c in (key, body, doc, packed))
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    return np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]) if len(columns[0]) else np.empty(0, dtype=bool)
+
+
+def _sole(values: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The one value of each run, or BRANCH; lead: where runs begin."""
+    low, high = np.minimum.reduceat(values, lead), np.maximum.reduceat(values, lead)
+    return np.where(low == high, low, BRANCH)
+
+
+def _later(new: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a row of a run (new where one begins) stands at a place after the run's first; equal places are no repeats."""
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[lead]) | (at != at[lead])
+
+
+def _by(doc: np.ndarray) -> np.ndarray:
+    """A key that deals rows out by document."""
+    return mixed(doc.view(np.uint64)).view(np.int64)
+
+
+def _asks(window: int, k: int):
+    """Rows (key, doc, v, packed) of a chunk's minimizers: the first place of each asks, by key; others are alive as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, CHUNK):
+            doc, v = longs(t.column("doc_id")), longs(t.column("v"))
+            texts = Texts(t.column("text").to_pylist(), window, k)
+            begin, n, key = texts.minimizers()
+            order = np.argsort(key, kind="stable")
+            begin, n, key = begin[order], n[order], key[order]
+            row = texts.of[begin]
+            new = _starts(key)
+            count = np.diff(np.concatenate([np.flatnonzero(new), [len(key)]]))[np.cumsum(new) - 1] if len(key) else n
+            at = begin - texts.starts[row]
+            packed = at << 32 | np.where(new, np.minimum(count, (1 << 22) - 1) << 10 | n << 3 | ASK, n << 3 | ALIVE)
+            yield batch([np.where(new, key, _by(doc[row])), doc[row], v[row], packed], ["key", "doc_id", "v", "packed"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (key, doc, v, packed): minimizers at two places or more, and (null, key, count) of hot ones."""
+    plain = ~np.int64(((1 << 22) - 1) << 10 | 7)
+    for key, doc, v, packed in sorted_runs(batches, 1):
+        told = packed & 7 == ALIVE
+        yield batch([doc[told], v[told], packed[told]], ["doc_id", "v", "packed"])
+        key, doc, v, packed = (c[~told] for c in (key, doc, v, packed))
         if not len(key):
             continue
-        fresh_key = np.concatenate([[True], key[1:] != key[:-1]])
-        fresh = fresh_key | np.concatenate([[True], body[1:] != body[:-1]])
-        group = np.cumsum(fresh_key) - 1
-        branches = np.bincount(group, weights=fresh)[group]
-        kind = np.where(_after(fresh, doc, packed >> 32), REPEAT, np.where(branches > 1, OPEN, FIRST))
-        keep = kind != FIRST
-        yield _batch([doc[keep], packed[keep] | kind[keep]], ["doc_id", "packed"])
+        new = _starts(key)
+        total = np.add.reduceat(packed >> 10 & ((1 << 22) - 1), np.flatnonzero(new))
+        alive = total[np.cumsum(new) - 1] > 1
+        yield batch([doc[alive], v[alive], packed[alive] & plain | ALIVE], ["doc_id", "v", "packed"])
+        hot = total >= HOT
+        yield batch([pa.nulls(int(hot.sum()), pa.int64()), key[new][hot], total[hot]], ["doc_id", "v", "packed"])
 
 
-def _windows(window: int):
-    """Rows (h1, h2, doc, packed) of the windows of opened paths; the chunk's own later occurrences are told repeats."""
+def _edges(window: int, k: int, spans: str, version: str, hot: np.ndarray):
+    """Rows (key, doc, v, packed, edges) of alive places: runs of edges with the neighbours before and after, or (without edges) told repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _chunks(batches):
-            t = t.filter(pc.greater(pc.fill_null(pc.list_value_length(t.column("__opened")), 0), 0))
+        names = ["key", "doc_id", "v", "packed", "edges"]
+        for t in chunks(batches, CHUNK):
+            t = t.filter(pc.greater(pc.fill_null(pc.list_value_length(t.column(spans)), 0), 0))
             if not t.num_rows:
                 continue
-            texts = [words_of(x) for x in t.column("text").to_pylist()]
-            doc, v = _long(t.column("doc_id")), _long(t.column("__v"))
-            h, starts = _hashes(texts)
-            spans = [np.array(p, dtype=np.int64) for p in t.column("__opened").to_pylist()]
-            row = np.repeat(np.arange(len(texts)), [len(s) for s in spans])
-            packed = np.concatenate(spans)
-            n = packed >> 2 & 63
-            row, step = np.repeat(row, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(packed >> 32, n) + step
-            begin = starts[row] + at
-            h1, h2 = (Runs(h, base)(begin, begin + window).view(np.int64) for base in (_MIX, _MIX2))
-            order = np.lexsort((v[row], at, doc[row], h2, h1))
-            order = order[~_again(*(c[order] for c in (h1, h2, doc[row], at, v[row])))]
-            h1, h2, row, at = h1[order], h2[order], row[order], at[order]
-            same = _after(~_again(h1, h2), doc[row], at)
-            h1 = np.where(same, _mixed(doc[row].view(np.uint64)).view(np.int64), h1)
-            yield _batch([h1, h2, doc[row], _pack(at, v[row], 1, np.where(same, REPEAT, FIRST))], ["h1", "h2", "doc_id", "packed"])
+            doc, v = longs(t.column("doc_id")), longs(t.column(version))
+            once = np.unique(np.stack([doc, v]), axis=1, return_index=True)[1]
+            t, doc, v = t.take(pa.array(once)), doc[once], v[once]
+            texts = Texts(t.column("text").to_pylist(), window, k)
+            packed = [np.array(p, dtype=np.int64) for p in t.column(spans).to_pylist()]
+            row = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
+            packed = np.concatenate(packed)
+            n = packed >> 3 & 127
+            begin = np.unique(np.repeat(texts.starts[row] + (packed >> 32), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+            row = texts.of[begin]
+            at = begin - texts.starts[row]
+            edge = texts.edges(begin)
+            before = np.where(at == 0, END, texts.edges(begin - 1))
+            after = np.where(begin + window == texts.starts[row + 1], END, texts.edges(begin + 1))
+
+            order = np.lexsort((v[row], at, doc[row], edge))
+            new = _starts(edge[order])
+            lead = np.flatnonzero(new)
+            group = np.empty(len(order), dtype=np.int64)
+            group[order] = np.cumsum(new) - 1
+            came, goes = _sole(before[order], lead)[group], _sole(after[order], lead)[group]
+            later = np.empty(len(order), dtype=bool)
+            later[order] = _later(new, doc[row][order], at[order])
+            some = np.flatnonzero(later)
+            later[some] = texts.same(begin[some], begin[order[lead]][group[some]])
+
+            mine = begin[later]
+            cut = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1] + 1) | (texts.of[mine[1:]] != texts.of[mine[:-1]])])) if len(mine) else mine
+            size, where = np.diff(np.concatenate([cut, [len(mine)]])), row[later][cut]
+            yield batch([_by(doc[where]), doc[where], v[where], at[later][cut] << 32 | size, pa.nulls(len(cut), pa.binary())], names)
+
+            begin, row, at, edge, came, goes = (c[~later] for c in (begin, row, at, edge, came, goes))
+            key = texts.short[texts.low[begin]].view(np.int64)
+            key = np.where(np.isin(key, hot), edge, key)
+            joined = (begin[1:] == begin[:-1] + 1) & (row[1:] == row[:-1]) & (key[1:] == key[:-1]) & (goes[:-1] == edge[1:]) & (came[1:] == edge[:-1])
+            cut = np.flatnonzero(np.concatenate([[True], ~joined]))
+            size = np.diff(np.concatenate([cut, [len(edge)]]))
+            ends = np.cumsum(size + 2)
+            flat = np.empty(int(ends[-1]), dtype=np.int64)
+            flat[np.arange(len(edge)) + 1 + 2 * np.repeat(np.arange(len(cut)), size)] = edge
+            flat[ends - size - 2], flat[ends - 1] = came[cut], goes[cut + size - 1]
+            offsets = np.concatenate([[0], 8 * ends]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            out = batch([key[cut], doc[row[cut]], v[row[cut]], at[cut] << 32 | size, column], names)
+            for lo in range(0, len(cut), 50_000):
+                yield out.slice(lo, 50_000)
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (h1, h2, doc, packed): all but the earliest of each window."""
-    for h1, h2, doc, packed in _sorted_runs(batches, 1):
-        told = packed & 3 != FIRST
-        yield _batch([doc[told], packed[told]], ["doc_id", "packed"])
-        h1, h2, doc, packed = (c[~told] for c in (h1, h2, doc, packed))
-        if len(h1):
-            same = _after(~_again(h1, h2), doc, packed >> 32)
-            yield _batch([doc[same], packed[same] | REPEAT], ["doc_id", "packed"])
+_SEGMENTS = ["kind", "head", "came", "tail", "goes", "doc_id", "v", "packed"]
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (key, doc, v, packed, edges): told repeats, segments at their earliest place, and later places of segments by first edge."""
+    for t in whole_runs(batches, 1, 50_000):
+        told = t.filter(pc.is_null(t.column("edges")))
+        none = np.zeros(told.num_rows, dtype=np.int64)
+        yield batch([none + TOLD, none, none, none, none, *(longs(told.column(c)) for c in ("doc_id", "v", "packed"))], _SEGMENTS)
+        t = t.filter(pc.is_valid(t.column("edges"))).combine_chunks()
+        if not t.num_rows:
+            continue
+        n = longs(t.column("packed")) & 0xFFFFFFFF
+        flat = np.frombuffer(b"".join(x.as_buffer() for c in t.column("edges").chunks for x in c), dtype=np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        here = np.arange(len(row)) + 1 + 2 * row
+        edge, before, after = flat[here], flat[here - 1], flat[here + 1]
+        doc, v, at = longs(t.column("doc_id"))[row], longs(t.column("v"))[row], (longs(t.column("packed")) >> 32)[row] + step
+        order = np.lexsort((v, at, doc, edge))
+        new = _starts(edge[order])
+        lead = np.flatnonzero(new)
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        came, goes = _sole(before[order], lead)[group], _sole(after[order], lead)[group]
+        later = np.empty(len(order), dtype=bool)
+        later[order] = _later(new, doc[order], at[order])
+        repeated = (np.bincount(group, weights=later) > 0)[group]
+        first = np.zeros(len(order), dtype=bool)
+        first[order[lead]] = True
+        kind = np.where(later, LATER, np.where(first & repeated, SEGMENT, 0))
+        joined = (row[1:] == row[:-1]) & (kind[1:] == kind[:-1]) & repeated[1:] & repeated[:-1] & (goes[:-1] == edge[1:]) & (came[1:] == edge[:-1])
+        cut = np.flatnonzero(np.concatenate([[True], ~joined]))
+        size = np.diff(np.concatenate([cut, [len(edge)]]))
+        last = cut + size - 1
+        keep = kind[cut] != 0
+        cut, last, size = cut[keep], last[keep], size[keep]
+        yield batch([kind[cut], edge[cut], came[cut], edge[last], goes[last], doc[cut], v[cut], at[cut] << 32 | size], _SEGMENTS)
+
+
+def _paths(segments: DataFrame) -> DataFrame:
+    """(head, n, doc0, v0, at0): whole nonbranching paths from segments, by first edge and source coordinates."""
+    segments = segments.withColumn("at", F.shiftright("packed", 32))
+    before = segments.where(~F.col("goes").isin(END, BRANCH)).select(F.col("tail").alias("came"), F.col("goes").alias("head"), F.lit(0).alias("new"))
+    joined = segments.join(before, ["came", "head"], "left")
+    # The segments of a path lie one after the other in their earliest document: a new path begins where none goes on.
+    run = F.sum(F.coalesce("new", F.lit(1))).over(Window.partitionBy("doc_id", "v").orderBy("at"))
+    size = F.sum(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n")
+    paths = joined.withColumn("run", run).groupBy("doc_id", "v", "run").agg(F.min_by("head", "at").alias("head"), size, F.min("at").alias("at0"))
+    return paths.select("head", "n", F.col("doc_id").alias("doc0"), F.col("v").alias("v0"), "at0")
+
+
+_SPELLED = "doc0 long, v0 long, at0 long, n long, doc_id long, v long, at long, words binary"
+
+
+def _spell(asked: str, version: str):
+    """The words of the asked spans, as they stand in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, v, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", version, "text", asked)), strict=True):
+                if spans:
+                    words = words_of(text)
+                    out = [(s["doc0"], s["v0"], s["at0"], s["n"], doc, v, s["at"], b" ".join(words[s["at"] : s["at"] + s["words"]])) for s in spans]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:-1]), pa.array([x[-1] for x in out], pa.binary())], names=[x.split()[0] for x in _SPELLED.split(", ")])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spelled occurrences, sorted by path and place: those whose words stand at an earlier place of the path."""
+    path, known = None, {}
+    for b in batches:
+        out = []
+        for doc0, v0, at0, n, doc, v, at, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if path != (doc0, v0, at0):
+                path, known = (doc0, v0, at0), {}
+            if known.setdefault(words, (doc, at)) < (doc, at):
+                out.append((doc, v, at << 32 | n))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["doc_id", "v", "packed"])
 
 
 def kept_words(words: list[bytes], spans: np.ndarray, window: int) -> list[bytes]:
-    """The words outside all windows of spans (packed)."""
+    """The words outside all windows of spans (start and number of windows, packed)."""
     if not len(spans):
         return words
     step = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(step, spans >> 32, 1)
-    np.add.at(step, (spans >> 32) + (spans >> 2 & 63) + window - 1, -1)
+    np.add.at(step, (spans >> 32) + (spans & 0xFFFFFFFF) + window - 1, -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0)]
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[DataFrame, DataFrame]:
-    """docs, with __v, dealt by document, and (doc_id, __v, __spans) with the packed spans of repeated windows."""
+def repeats(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, whose names come with it: a version of the document, and the spans of its repeated windows.
+
+    The version tells different texts of one doc_id apart; it is 0 throughout where no doc_id repeats.
+    """
     prepare(docs.sparkSession)
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _chunks(batches):
-            yield _batch(paths([words_of(x) for x in t.column("text").to_pylist()], _long(t.column("doc_id")), _long(t.column("v")), window, k), ["key", "body", "doc_id", "packed"])
-
-    rows = docs.withColumn("__v", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)))
-    named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("__v").alias("v"), "text")
-    version = F.shiftright("packed", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("v")
-    compact = (
-        named.mapInArrow(found, "key long, body long, doc_id long, packed long")
-        .repartition(parts, "key")
-        .sortWithinPartitions("key", "body", "doc_id", "packed")
-        .mapInArrow(_compact, "doc_id long, packed long")
-    )
-    of_kind = lambda kind: F.collect_list(F.when(F.col("packed").bitwiseAND(F.lit(3)) == kind, F.col("packed")))
-    told = checkpoint(compact.groupBy("doc_id", version).agg(of_kind(REPEAT).alias("spans"), of_kind(OPEN).alias("opened")))
-    dealt = rows.repartition(parts, "doc_id", "__v")
-    # A left join, rows without opened paths leaving in Python, and all columns: so the texts are dealt out as they are
-    # for the other join, and Spark shuffles them once for both.
-    windows = (
-        dealt.join(told.where(F.size("opened") > 0).select("doc_id", F.col("v").alias("__v"), F.col("opened").alias("__opened")), ["doc_id", "__v"], "left")
-        .mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, packed long")
-        .repartition(parts, "h1")
-        .sortWithinPartitions("h1", "h2", "doc_id", "packed")
-        .mapInArrow(_later, "doc_id long, packed long")
+    if not k <= window <= 100:
+        raise ValueError("window must have k to 100 words")
+    parts = parts_of(docs)
+    version, spans = fresh("version", docs), fresh("spans", docs)
+    single = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = docs.withColumn(version, F.lit(0).cast("long") if single else F.xxhash64("text"))
+    named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(version).alias("v"), "text")
+
+    def with_(told: DataFrame) -> DataFrame:
+        # All columns of rows, rows without spans leaving in Python: so the texts' shuffle is the same one for each join.
+        return rows.join(told.select("doc_id", F.col("v").alias(version), F.col("spans").alias(spans)), ["doc_id", version], "left")
+
+    asks = named.mapInArrow(_asks(window, k), "key long, doc_id long, v long, packed long").repartition(parts, "key").sortWithinPartitions("key")
+    met = asks.mapInArrow(_met, "doc_id long, v long, packed long")
+    alive = checkpoint(met.groupBy("doc_id", "v").agg(F.collect_set("packed").alias("spans")))
+    hot = alive.where("doc_id IS NULL").orderBy(F.desc(F.col("spans")[0]), "v").limit(HOTTEST).select("v").collect()
+    made = with_(alive.where("doc_id IS NOT NULL")).mapInArrow(
+        _edges(window, k, spans, version, np.array([r.v for r in hot], dtype=np.int64)), "key long, doc_id long, v long, packed long, edges binary"
     )
-    more = windows.groupBy("doc_id", version).agg(F.collect_list("packed").alias("spans"))
-    spans = told.select("doc_id", "v", "spans").union(more).groupBy("doc_id", F.col("v").alias("__v")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
-    return dealt, spans
+    found = packed_checkpoint(made.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_segments, ", ".join(f"{c} long" for c in _SEGMENTS)))
 
+    paths = packed_checkpoint(_paths(found.where(F.col("kind") == SEGMENT)))
+    at = F.shiftright("packed", 32).alias("at")
+    later = found.where(F.col("kind") == LATER).select("head", "doc_id", "v", at).join(paths, "head")
+    places = later.unionByName(paths.select("*", F.col("doc0").alias("doc_id"), F.col("v0").alias("v"), F.col("at0").alias("at")))
+    span = F.struct("at", "n", (F.col("n") + window - 1).alias("words"), "doc0", "v0", "at0")
+    asked = packed_checkpoint(places.groupBy("doc_id", "v").agg(F.collect_set(span).alias("spans")))
+    path = ["doc0", "v0", "at0"]
+    spelled = with_(asked).mapInArrow(_spell(spans, version), _SPELLED).repartition(parts, *path).sortWithinPartitions(*path, "doc_id", "at")
+    told = found.where(F.col("kind") == TOLD).select("doc_id", "v", "packed").union(spelled.mapInArrow(_verified, "doc_id long, v long, packed long"))
+    return with_(packed_checkpoint(told.groupBy("doc_id", "v").agg(F.collect_set("packed").alias("spans")))), version, spans
 
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
+
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): a row for each row of docs, kept being its words outside repeated windows, spaced once.
 
     A window is a repeat if its words also start earlier: in a smaller doc_id, or earlier in the same
@@ -276,44 +369,44 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
     repeat. Rows that repeat a doc_id are at one place, so neither makes the other a repeat. Null and
     empty texts, and those under `window` words, stay as they are. An empty table gives none.
     """
-    dealt, spans = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window, k)
+    marked, _, spans = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [words_of(x) for x in b.column("text").to_pylist()]
-            kept = [kept_words(w, np.array(s or (), dtype=np.int64), window) for w, s in zip(words, b.column("__spans").to_pylist(), strict=True)]
+            kept = [kept_words(w, np.array(s or (), dtype=np.int64), window) for w, s in zip(words, b.column(spans).to_pylist(), strict=True)]
             counts, left = [len(w) for w in words], [len(x) for x in kept]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array([n - m for n, m in zip(counts, left, strict=True)], pa.int64()), pa.array([b" ".join(x).decode() for x in kept], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return dealt.join(spans, ["doc_id", "__v"], "left").select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
+    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> DataFrame:
     """The rows of docs, all columns, their text being what dedup() keeps and n_chars, if there, its length.
 
     Texts without repeats stay as they are, to the byte. Rows of which nothing is left go.
     """
-    dealt, spans = repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")), window, k)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    marked, _, spans = repeats(docs, window, k)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
-            texts = t.column("text").to_pylist()
+            texts, found = t.column("text").to_pylist(), t.column(spans).to_pylist()
             keep = [True] * len(texts)
-            for i, s in enumerate(t.column("__spans").to_pylist()):
+            for i, s in enumerate(found):
                 if s:
                     texts[i] = b" ".join(kept_words(words_of(texts[i]), np.array(s, dtype=np.int64), window)).decode()
                     keep[i] = bool(texts[i])
-            t = t.set_column(t.column_names.index("text"), "text", pa.array(texts, pa.string())).drop_columns(["__spans"])
+            t = t.set_column(t.column_names.index("text"), "text", pa.array(texts, pa.string())).select(columns)
             if "n_chars" in t.column_names:
                 at = t.column_names.index("n_chars")
-                n = [old if not s else len(x) for x, s, old in zip(texts, b.column("__spans").to_pylist(), t.column("n_chars").to_pylist(), strict=True)]
+                n = [old if not s else len(x) for x, s, old in zip(texts, found, t.column("n_chars").to_pylist(), strict=True)]
                 t = t.set_column(at, "n_chars", pa.array(n, t.schema.field(at).type))
             yield from t.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
 
-    joined = dealt.join(spans, ["doc_id", "__v"], "left").select(*docs.columns, "__spans")
-    return joined.mapInArrow(run, joined.drop("__spans").schema)
+    return marked.mapInArrow(run, docs.schema)

@@ -64,3 +64,16 @@ def test_best_fit():
     p = packing.Packer(10)
     p.add([(6, [b"a"]), (5, [b"b"]), (4, [b"c"]), (5, [b"d"]), (3, [b"e"])])
     assert sorted(size for size, _ in p.take(10)) == [3, 10, 10]
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n\t\r", "\u3000", "a", "日", "!", "1 ", "a\n\n"])
+def test_long_runs(spark, unit):
+    encode, own = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    for n in (packing.STRETCH - 1, packing.STRETCH, 1_000_000):
+        for text in (unit * (n // len(unit)), "x" + unit * (n // len(unit)) + "y"):
+            assert list(array("I", encode(text))) == own.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_through_the_operator(spark):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 300_000 + "end"), (3, "plain words")]
+    verify(rows, ours(spark, rows), 1.5)
