@@ -69,7 +69,7 @@ def test_best_fit():
 @pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n\t\r", "\u3000", "a", "日", "!", "1 ", "a\n\n"])
 def test_long_runs(spark, unit):
     encode, own = packing.Encoder(PATH), Tokenizer.from_file(PATH)
-    for n in (packing.STRETCH - 1, packing.STRETCH, 1_000_000):
+    for n in (packing.STRETCH - 1, packing.STRETCH, 200_000):
         for text in (unit * (n // len(unit)), "x" + unit * (n // len(unit)) + "y"):
             assert list(array("I", encode(text))) == own.encode(text, add_special_tokens=False).ids
 
