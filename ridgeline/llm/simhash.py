@@ -1,19 +1,22 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Every text gets a fingerprint. Distances of fingerprints to reference fingerprints (pivots) are
-tabled; as |d(x, p) - d(y, p)| <= d(x, y) for each pivot p, a pair whose coordinates differ by more
-than the radius anywhere is no link. The pivots are a staircase: pivot j is pivot 0 with bits 0..j
-flipped, so differences of neighbouring coordinates give the bits of x one to one. Two fingerprints
-with few differing bits agree on whole groups of coordinates; these groups, packed into one word,
-are the keys by which a table is dealt out, and only rows with an equal key meet. Survivors of the
-coordinate test are verified on the fingerprints themselves.
+Every text gets a fingerprint, and every distinct fingerprint a row of a table: its Hamming distances to
+reference fingerprints (pivots). As |d(x, p) - d(y, p)| <= d(x, y) for each pivot p, a pair whose coordinates
+differ by more than the radius anywhere is no link. The pivots are rows of the Walsh-Hadamard matrix,
+which are all 32 bits apart, so that coordinates are uncorrelated and tell as much as they can.
+
+1. The first coordinates deal the table out: each is cut into cells twice as wide as the radius, and a row whose
+   coordinate is within the radius of the next cell is there too. Pairs within the radius meet in the cell of the greater
+   of their coordinates, in all coordinates at once, so no link is lost, however many coordinates are used.
+2. Over-full cells are cut further, by the next pivots; what is still over-full after the last pivot, by pairs of blocks.
+3. Within a cell, pairs are discarded by the maximum difference of all coordinates; survivors are verified on the fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import checkpoint, connected_components, prepare
+from ridgeline.llm.common import checkpoint, connected_components, mixed, packed_checkpoint, parts_of, prepare, whole_runs
 
 SEED = 42
-#: Fingerprints that may meet in one bucket; fuller buckets are split by further coordinates.
-BUCKET = 1024
-PIVOT_0 = np.uint64(0x9E3779B97F4A7C15)
-#: Staircase pivots, from the longest step to the shortest, as the long steps tell most pairs apart.
-PIVOTS = np.array([PIVOT_0, *(PIVOT_0 ^ np.uint64(2**j - 1) for j in (64, 32, 48, 16, 56, 40, 24, 8, 60, 52, 44, 36, 28, 20, 12, 4))], dtype=np.uint64)
+#: Fingerprints that may meet in one cell; fuller cells are cut further.
+CELL = 2048
+#: Rows 1 to 24 of the Walsh-Hadamard matrix of order 64.
+PIVOTS = np.array([sum((j & i).bit_count() % 2 << i for i in range(64)) for j in range(1, 25)], dtype=np.uint64)
+#: Share of random fingerprints that a random one meets in a coordinate's cells, about: it settles how many pivots cut at once.
+SHARE = 0.4
+#: Parts in which the rows of one group are named.
+SALTS = 16
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
-#: Odd factors that derive further words of a long fingerprint from a shingle's hash.
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -62,56 +66,69 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return majority_bits(shingle_hashes(text, width))
 
 
-def long_fingerprint(text: str | None, width: int, words: int) -> list[int]:
-    """The plain fingerprint, then `words` more that stem from remixed hashes."""
-    h = shingle_hashes(text, width)
-    out = [majority_bits(h)]
-    for factor in _FACTORS[:words]:
-        mixed = (h ^ (h >> np.uint64(29))) * factor
-        out.append(majority_bits(mixed ^ (mixed >> np.uint64(32))))
-    return out
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp): fingerprints as signed longs, one row per row of docs; null text counts as empty."""
+    prepare(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values)], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
-def fingerprints(docs: DataFrame, width: int = 3, more: int = 0) -> DataFrame:
-    """(doc_id, fp, x1..x<more>): fingerprints as signed longs, one row per row of docs; null text counts as empty."""
-    prepare(docs.sparkSession)
-    names = ["fp", *(f"x{i + 1}" for i in range(more))]
+
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """[n, pivots] distances of the fingerprints to the pivots."""
+    return np.bitwise_count(fps.view(np.uint64)[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def pivot_table(prints: DataFrame) -> DataFrame:
+    """(cell, fp, far): a row for each fingerprint with its distances to all pivots, one byte each; all in one cell so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = np.array([long_fingerprint(t, width, more) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, 1 + more).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[:, i].copy()) for i in range(1 + more))], names=["doc_id", *names])
+            fps = np.asarray(b.column(0)).astype(np.int64)
+            yield _rows(np.zeros(len(fps), dtype=np.uint64), fps, coordinates(fps))
+
+    return prints.select("fp").mapInArrow(run, _TABLE)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
+_TABLE = "cell long, fp long, far binary"
 
-def masks(free: int, blocks: int, agree: int) -> list[int]:
-    """Masks over the bits of `free`, cut into blocks of which each choice of `agree` makes one mask."""
-    bits = [j for j in range(64) if free >> j & 1]
-    cut = [bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks] for i in range(blocks)]
-    return [sum(1 << j for part in chosen for j in part) for chosen in combinations(cut, agree)]
 
+def _rows(cell: np.ndarray, fps: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(len(fps) + 1, dtype=np.int32) * len(PIVOTS)
+    packed = pa.Array.from_buffers(pa.binary(), len(fps), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(far))])
+    return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fps), packed], names=["cell", "fp", "far"])
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def _read(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell, fps = (np.asarray(t.column(c)).astype(np.int64) for c in ("cell", "fp"))
+    return cell.view(np.uint64), fps, np.frombuffer(b"".join(t.column("far").to_pylist()), dtype=np.int8).reshape(-1, len(PIVOTS))
 
-def _deal(df: DataFrame, names: list[str], blocks: int, agree: int) -> DataFrame:
-    """One row per fingerprint and finer table: (mask, key, *names). key packs the agreeing coordinates."""
 
+def cells(cell: np.ndarray, far: np.ndarray, pivots: range, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of each row in each finer cell that it belongs to, by the given pivots' coordinates."""
+    row, width = np.arange(len(cell)), max(1, 2 * radius)
+    for p in pivots:
+        c = far[row, p].astype(np.int64)
+        home, up = c // width, c % width >= width - radius
+        row, place, cell = np.concatenate([row, row[up]]), np.concatenate([home, home[up] + 1]), np.concatenate([cell, cell[up]])
+        cell = mixed(cell * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) + np.uint64(1))
+    return row, cell
+
+
+def _deal(table: DataFrame, pivots: range, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mask, *cols = (np.asarray(c).astype(np.int64) for c in b.columns)
-            for old in np.unique(mask):
-                rows = mask == old
-                bits = cols[0][rows].view(np.uint64) ^ PIVOT_0
-                agreed = int(old) & (2**64 - 1)
-                for m in masks(~agreed & (2**64 - 1), blocks, agree):
-                    both = agreed | m
-                    key = (bits & np.uint64(both)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), _signed(both), dtype=np.int64)), pa.array(key), *(pa.array(c[rows]) for c in cols)], names=["mask", "key", *names])
+            cell, fps, far = _read(b)
+            row, finer = cells(cell, far, pivots, radius)
+            for lo in range(0, len(row), 50_000):
+                some = row[lo : lo + 50_000]
+                yield _rows(finer[lo : lo + 50_000], fps[some], far[some])
 
-    return df.select("mask", *names).mapInArrow(run, ", ".join(f"{n} long" for n in ("mask", "key", *names)))
+    return table.select("cell", "fp", "far").mapInArrow(run, _TABLE)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,24 +153,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[low[rest]]
 
 
-def bucket_links(mask: np.ndarray, key: np.ndarray, words: np.ndarray, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within each run of equal (mask, key); words: fingerprints by column."""
-    n, a, b, held = len(key), [], [], 0
-    where = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), [True]]))
-    run = np.repeat(np.arange(len(where) - 1), np.diff(where))
-    coordinates = np.bitwise_count(words[:, :1] ^ PIVOTS[None, :]).astype(np.int8)
-    at = np.arange(n)
-    for k in range(1, n):
-        at = at[at + k < n]
-        at = at[run[at] == run[at + k]]
+def cell_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links within each cell."""
+    order = np.lexsort((far[:, -1], cell))
+    cell, fps, far = cell[order], fps[order].view(np.uint64), np.ascontiguousarray(far[order].T)
+    a, b, held, at = [], [], 0, np.arange(len(cell))
+    for k in range(1, len(cell)):
+        # Rows of a cell lie by the last coordinate: who is too far from the k-th row on is so from all after it.
+        at = at[at + k < len(cell)]
+        at = at[(cell[at] == cell[at + k]) & (far[-1, at + k] - far[-1, at] <= radius)]
         if not len(at):
             break
         i = at
-        for p in range(len(PIVOTS)):
-            i = i[np.abs(coordinates[i, p] - coordinates[i + k, p]) <= radius]
-        i = i[np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1) <= total]
-        a.append(words[i, 0])
-        b.append(words[i + k, 0])
+        for c in far[:-1]:
+            i = i[np.abs(c[i] - c[i + k]) <= radius]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= radius]
+        a.append(fps[i])
+        b.append(fps[i + k])
         held += len(i)
         if held > 1_000_000:
             x, y = _forest(np.concatenate(a), np.concatenate(b))
@@ -163,85 +179,60 @@ def bucket_links(mask: np.ndarray, key: np.ndarray, words: np.ndarray, radius: i
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
-def links(prints: DataFrame, radius: int, total: int, blocks: int, agree: int, refine: tuple[int, int]) -> DataFrame:
-    """(a, b): links that join the same fingerprints as all links do. prints: distinct rows (fp, x1..).
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of at most `radius` differing bits that join the same fingerprints as all of them do. prints: distinct rows (fp).
 
-    A link has at most `radius` differing bits in fp and at most `total` in all words. With
-    blocks - agree >= radius no link is lost, as that many bits leave `agree` blocks untouched.
-    Buckets of over BUCKET fingerprints are dealt out again by further blocks of the bits that are
-    still free (refine: blocks and agree there), by the same argument, until none is that full; as the
-    fingerprints are distinct, that ends when the free bits tell BUCKET of them apart. So no task holds
-    an unbounded group. Within a bucket only a spanning forest leaves the task, never all pairs.
+    A cell of a task holds at most CELL fingerprints (a pair of blocks twice that, about), and only a
+    spanning forest of its links leaves the task, never all pairs.
     """
-    if min(blocks - agree, refine[0] - refine[1]) < radius:
-        raise ValueError(f"{radius} differing bits can touch more blocks than {blocks} with {agree} agreeing, or {refine} later, allow")
-    spark, names = prints.sparkSession, prints.columns
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out(block: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(block[:, 0], block[:, 1], block[:, 2:].view(np.uint64), radius, total)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            held.append(np.column_stack([np.asarray(c) for c in batch.columns]))
-            if sum(map(len, held)) >= 16 * BUCKET:
-                block = np.ascontiguousarray(np.concatenate(held))
-                last = np.flatnonzero((block[:, :2] != block[-1, :2]).any(axis=1))
-                cut = last[-1] + 1 if len(last) else 0
-                held = [block[cut:]]
-                if cut:
-                    yield out(np.ascontiguousarray(block[:cut]))
-        if held:
-            block = np.ascontiguousarray(np.concatenate(held))
-            if len(block):
-                yield out(block)
-
-    found, rest = None, prints.select(F.lit(0).cast("long").alias("mask"), *names)
+        for t in whole_runs(batches, 1, 16 * CELL):
+            a, b = cell_links(*_read(t), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def linked(table: DataFrame) -> DataFrame:
+        return table.select("cell", "fp", "far").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+    rest, n = pivot_table(prints), prints.count()
+    cut, found = 0, None
+    step = min(len(PIVOTS) - 1, math.ceil(math.log(max(1, n / CELL * 4)) / -math.log(SHARE)))
     while True:
-        dealt = _deal(rest, names, blocks, agree)
-        full = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        met = checkpoint(dealt.join(full, ["mask", "key"]))
-        small = met.where(F.col("n") <= BUCKET).select("mask", "key", *names).repartition(parts, "mask", "key").sortWithinPartitions("mask", "key")
-        some = small.mapInArrow(run, "a long, b long")
+        dealt = _deal(rest, range(cut, cut + step), radius)
+        cut, step = cut + step, 1
+        sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        met = packed_checkpoint(dealt.join(sizes, "cell"))
+        some = linked(met.where(F.col("n") <= CELL))
         found = some if found is None else found.union(some)
-        rest = met.where(F.col("n") > BUCKET).select("mask", *names).distinct()
+        rest = met.where(F.col("n") > CELL)
         if rest.isEmpty():
             return found.distinct()
-        blocks, agree = refine
+        if cut == len(PIVOTS) - 1:
+            blocks = rest.withColumn("k", F.ceil(F.col("n") / F.lit(CELL))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")))
+            pairs = blocks.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
+            cell = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
+            return found.union(linked(pairs.withColumn("cell", cell))).distinct()
 
 
-def groups(docs: DataFrame, width: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, refine: tuple[int, int] = (4, 2), more: int = 0, total: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over links.
 
     Rows with one fingerprint are one node of the graph, so groups of copies of any size cost one row.
     A null doc_id takes part, but is never a component_id unless all of the group are null. Null and
     empty texts have fingerprint zero. Repeated rows give repeated result rows; an empty table gives none.
     """
-    prints = checkpoint(fingerprints(docs, width, more))
-    words = ["fp", *(f"x{i + 1}" for i in range(more))]
-    distinct = checkpoint(prints.groupBy(*words).agg(F.min("doc_id").alias("least")))
-    one = distinct.groupBy("fp").agg(F.min(F.struct(*words)).alias("w")).select("w.*")
-    found = links(one, radius, radius if total is None else total, blocks, agree, refine)
-    parts = connected_components(found)
-    least = distinct.groupBy("fp").agg(F.min("least").alias("least"))
-    named = least.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    low = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(low, "component").select("fp", "component_id")
-    return prints.select("doc_id", "fp").join(of, "fp").select("doc_id", "fp", "component_id")
+    prints = checkpoint(fingerprints(docs, width))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = connected_components(links(distinct.select("fp"), radius))
+    # Groups are named in SALTS parts, so that no group's fingerprints are one task's.
+    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    low = named.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    linked = named.join(low, ["component", "salt"]).select("fp", "component_id")
+    alone = distinct.join(parts, distinct.fp == parts.node, "left_anti").select("fp", F.col("least").alias("component_id"))
+    return prints.join(linked.union(alone), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_of(column: str):
     """16 lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the least of their group; how: as for groups().
-
-    A row that repeats another in doc_id and text goes; rows without a doc_id cannot be named and stay.
-    """
-    ids = groups(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))

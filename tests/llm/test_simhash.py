@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+import pytest
 import xxhash
 
 from ridgeline.llm import simhash
@@ -55,28 +57,28 @@ def test_whole_table(spark):
     assert ours(spark, rows) == brute(rows)
 
 
-def test_full_buckets_are_dealt_again(spark, monkeypatch):
+def clusters():
     import random
 
-    from pyspark.sql import functions as F
-
     rng = random.Random(1)
     prints = [rng.getrandbits(64) for _ in range(40)]
     for p in list(prints):
         for _ in range(20):
             prints.append(p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
-    prints = sorted(set(prints))
-    monkeypatch.setattr(simhash, "BUCKET", 4)
-    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    # A dense ball, which pivots hardly tell apart.
+    prints += [prints[0] ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(7) for j in range(i) for k in range(j)]
+    return sorted(set(prints))
+
+
+def check_links(spark, prints, radius):
     from ridgeline.llm.common import connected_components
 
-    found = simhash.links(df, 2, 2, 4, 2, (4, 2))
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    found = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), radius)
     got = {r.node & (2**64 - 1): r.component & (2**64 - 1) for r in connected_components(found).collect()}
-    want = {}
-    for p in prints:
-        want[p] = {p}
+    want = {p: {p} for p in prints}
     for a, b in itertools.combinations(prints, 2):
-        if (a ^ b).bit_count() <= 2 and want[a] is not want[b]:
+        if (a ^ b).bit_count() <= radius and want[a] is not want[b]:
             want[a] |= want[b]
             for x in want[b]:
                 want[x] = want[a]
@@ -84,15 +86,31 @@ def test_full_buckets_are_dealt_again(spark, monkeypatch):
         assert (want[a] is want[b]) == (got.get(a, a) == got.get(b, b))
 
 
-def test_extra_columns(spark):
-    rows = [(1, "a b c d", "x", 5), (2, "a b c d", "y", 6)]
-    assert [r[2] for r in ours(spark, rows, "doc_id long, text string, fp string, component_id int")] == [1, 1]
+@pytest.mark.parametrize("radius", [1, 2, 5])
+def test_one_cell(spark, radius):
+    check_links(spark, clusters(), radius)
+
 
+def test_full_cells_are_cut_by_further_pivots(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 60)
+    check_links(spark, clusters(), 2)
 
-def test_lossy_deals_are_refused(spark):
-    import pytest
 
-    prints = spark.createDataFrame([(1,), (3,)], "fp long")
-    for blocks, agree, refine in ((8, 2, (3, 1)), (20, 2, (3, 1))):
-        with pytest.raises(ValueError):
-            simhash.links(prints, 18, 52, blocks, agree, refine)
+def test_full_cells_after_the_last_pivot_go_by_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", simhash.PIVOTS[:4])
+    check_links(spark, clusters(), 2)
+
+
+def test_coordinates_bound_the_distance():
+    x = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64)
+    far = simhash.coordinates(x.view(np.int64)).astype(int)
+    assert far.tolist() == [[(int(a) ^ int(p)).bit_count() for p in simhash.PIVOTS] for a in x]
+    assert {(int(a) ^ int(b)).bit_count() for a, b in itertools.combinations(simhash.PIVOTS, 2)} == {32}
+    for i, j in itertools.combinations(range(50), 2):
+        assert abs(far[i] - far[j]).max() <= (int(x[i]) ^ int(x[j])).bit_count()
+
+
+def test_extra_columns(spark):
+    rows = [(1, "a b c d", "x", 5), (2, "a b c d", "y", 6)]
+    assert [r[2] for r in ours(spark, rows, "doc_id long, text string, fp string, component_id int")] == [1, 1]
