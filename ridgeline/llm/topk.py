@@ -5,6 +5,9 @@ accumulated block by block of dimensions, those with most of the queries' mass f
 block the best a pair can still reach is its partial sum plus the product of the remaining norms
 (Cauchy-Schwarz); pairs that cannot reach their query's k-th score are dropped, and the survivors
 compacted.
+
+Queries and candidates are packed, a block of queries or a tile of candidates to a row, and each task takes
+some tiles against some blocks. A block knows from the start what its own rows reach among themselves.
 """
 
 from __future__ import annotations
@@ -13,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import prepare
+from ridgeline.llm.common import checkpoint, chunks, longs, prepare
 
-#: Queries sent to the executors at once; more queries go in further blocks.
-QUERY_BLOCK = 4096
-TILE, FIRST_TILE, DIMENSIONS = 4096, 256, 8
+#: Queries in a block, candidates in a tile, dimensions accumulated at once.
+BLOCK, TILE, DIMENSIONS = 1024, 4096, 8
 #: Share of surviving pairs below which they are compacted.
 SPARSE = 0.25
 
@@ -32,23 +35,21 @@ def usable(column: str) -> Column:
 
 
 class Best:
-    """The k best (score, smaller id) of each query so far."""
+    """The k best (score, smaller id) of each query so far; least: what a pair must reach to matter."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
+        self.k = k
         self.q, self.s, self.v = (np.empty(0, dtype=np.int64) for _ in range(3))
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(queries, -np.inf) if least is None else least.copy()
 
     def add(self, q: np.ndarray, s: np.ndarray, v: np.ndarray) -> None:
-        other = v != self.ids[q]
-        q, s, v = (np.concatenate(x) for x in ((self.q, q[other]), (self.s, s[other]), (self.v, v[other])))
+        q, s, v = (np.concatenate(x) for x in ((self.q, q), (self.s, s), (self.v, v)))
         order = np.lexsort((v, -s, q))
         q, s, v = q[order], s[order], v[order]
-        first = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - first < self.k
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < self.k
         self.q, self.s, self.v = q[keep], s[keep], v[keep]
         last = np.arange(len(self.q)) - np.searchsorted(self.q, self.q) == self.k - 1
-        self.least[self.q[last]] = self.s[last]
+        self.least[self.q[last]] = np.maximum(self.least[self.q[last]], self.s[last])
 
 
 def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best) -> int:
@@ -83,64 +84,99 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best)
     return len(sums)
 
 
+def _matrix(v: pa.ChunkedArray) -> np.ndarray:
+    """Arrays as rows, padded with zeros to the longest."""
+    v = v.combine_chunks()
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    lengths, flat = np.asarray(v.value_lengths()).astype(np.int64), np.asarray(v.flatten()).astype(np.int64)
+    out = np.zeros((len(lengths), lengths.max(initial=0)), dtype=np.int64)
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def _rows(data: pa.BinaryScalar, n: int) -> np.ndarray:
+    flat = np.frombuffer(data.as_buffer(), np.int64)
+    return flat.reshape(n, len(flat) // n)
+
+
+def _wide(m: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ids, vectors): some rows of a part at a time."""
+    for t in chunks(batches):
+        for at in range(0, t.num_rows, TILE):
+            ids, m = longs(t.column("vec_id")[at : at + TILE]), _matrix(t.column("v")[at : at + TILE])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, m)], names=["ids", "vectors"])
+
+
+_ASKED = "block long, q_ids binary, times binary, queries binary, least binary"
+
+
+def _blocks(k: int):
+    """Blocks of queries (vec_id, times, v), and what each query's k + 1 best among the block's rows reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for t in chunks(batches):
+            for at in range(0, t.num_rows, BLOCK):
+                ids, times, m = longs(t.column("vec_id")[at : at + BLOCK]), longs(t.column("times")[at : at + BLOCK]), _matrix(t.column("v")[at : at + BLOCK])
+                best = Best(len(ids), k + 1)
+                scan(m, m, ids, best)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, times, m, best.least))], names=["block", "q_ids", "times", "queries", "least"])
+                number += BLOCK
+
+    return run
+
+
+_FOUND = "q long, query_id long, times long, own long, vec_id long, score long"
+
+
+def _against(k: int):
+    """The k + 1 best of each query among a task's tiles, its own row included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple] = {}
+        for b in batches:
+            for block, q_ids, times, queries, least, ids, vectors in zip(*(b.column(c) for c in ("block", "q_ids", "times", "queries", "least", "ids", "vectors")), strict=True):
+                number = block.as_py()
+                if number not in known:
+                    q_ids, times = (np.frombuffer(x.as_buffer(), np.int64) for x in (q_ids, times))
+                    known[number] = q_ids, times, _rows(queries, len(q_ids)), Best(len(q_ids), k + 1, np.frombuffer(least.as_buffer()))
+                queries, best = known[number][2:]
+                tile_ids = np.frombuffer(ids.as_buffer(), np.int64)
+                tile = _rows(vectors, len(tile_ids))
+                width = max(queries.shape[1], tile.shape[1])
+                scan(_wide(queries, width), _wide(tile, width), tile_ids, best)
+        for number, (q_ids, times, queries, best) in known.items():
+            own = np.square(queries).sum(axis=1)
+            columns = (number + best.q, q_ids[best.q], times[best.q], own[best.q], best.v, best.s)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return run
+
+
 def search(rows: DataFrame, k: int = 5, scale: int = 256, every: int = 50) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k best other rows, by exact integer scores.
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` its k best other rows, by exact integer scores.
 
     Components become floor(scale * x), which must fit 63 bits, as must the scores. Rows whose vec_id or vector is null, or
     whose vector has null or non-finite components, take no part. A missing component of a shorter
-    vector counts as 0. Rows that repeat a vec_id are candidates each; as a query such an id has its
-    greatest vector, and no row of its own id is its candidate. Without queries, or other rows, the result is empty.
+    vector counts as 0. Rows that repeat a vec_id are rows like any other: each is a query of its own (equal rows have
+    equal results), and its candidates are all rows but itself. Without queries, or other rows, the result is empty.
 
-    The queries go to the executors in blocks of about QUERY_BLOCK, each against all rows.
+    All pairs of a query block and a tile are tasks' rows: that is the stated query set against all rows.
     """
     prepare(rows.sparkSession)
     vectors = rows.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")
     )
-    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    count, found = asked.count(), None
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    for i in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
-        width = max((len(r.v) for r in mine), default=0)
-        q_ids = np.array([r.vec_id for r in mine], dtype=np.int64)
-        q = np.array([r.v + [0] * (width - len(r.v)) for r in mine], dtype=np.int64).reshape(len(mine), width)
-        part = _against(vectors, q_ids, q, k)
-        found = part if found is None else found.union(part)
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _against(vectors: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = sent.value
-        best, held, size, tile = Best(ids, k), [], 0, FIRST_TILE
-
-        def flush(all_rows: bool) -> None:
-            nonlocal held, size, tile
-            v_ids, block = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            at = 0
-            while at < len(v_ids) and (all_rows or len(v_ids) - at >= tile):
-                scan(queries, block[at : at + tile], v_ids[at : at + tile], best)
-                at, tile = at + tile, TILE
-            held, size = [(v_ids[at:], block[at:])], len(v_ids[at:])
-
-        for b in batches:
-            v = b.column(1)
-            lengths, flat = np.asarray(v.value_lengths()), np.asarray(v.flatten())
-            width = queries.shape[1]
-            block = np.zeros((len(lengths), width), dtype=np.int64)
-            inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            ok = inside < width
-            block[np.repeat(np.arange(len(lengths)), lengths)[ok], inside[ok]] = flat[ok]
-            held.append((np.asarray(b.column(0)), block))
-            size += len(lengths)
-            if size >= tile:
-                flush(False)
-        if size and len(ids):
-            flush(True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.v), pa.array(best.s)], names=["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    blocks = checkpoint(asked.mapInArrow(_blocks(k), _ASKED))
+    found = vectors.mapInArrow(_tiles, "ids binary, vectors binary").crossJoin(blocks).mapInArrow(_against(k), _FOUND)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    # The query's own row, or one that looks alike, leaves the list.
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("n"))).over(Window.partitionBy("q"))
+    ranked = best.withColumn("gone", F.coalesce(own, F.lit(k + 2))).where("n <> gone").withColumn("rank", F.col("n") - (F.col("gone") < F.col("n")).cast("int")).where(F.col("rank") <= k)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
