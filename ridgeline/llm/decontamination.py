@@ -1,15 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and test items meet where they share a run of SHORTEST words (a seed, found by Karp-Rabin hashes
-of all such runs). Seeds on one diagonal grow to maximal matches. Then the longest match whose words are
-unmarked on both sides becomes a tile and its words are marked; what marking leaves of other matches
-competes again, until no match of SHORTEST words is left. As tiles may lie in any order, a reordered
-passage is covered as well as a plain copy. An item is leaked if its tiles cover enough of it.
+of all such runs): a filter of all items' seeds leaves of each text its fragments that any item may share, and an
+equi-join on seeds brings fragments and items together. Then the longest run of words that is unmarked on both sides
+becomes a tile and its words are marked, again and again, until no run of SHORTEST words is left; its length is
+searched with Karp-Rabin hashes of all unmarked runs of a length. As tiles may lie in any order, a reordered passage is
+covered as well as a plain copy. An item is leaked if its tiles cover enough of it.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import prepare
+from ridgeline.llm.common import checkpoint, fresh, mixed, packed_checkpoint, prepare
+from ridgeline.llm.substrings import Runs
+from ridgeline.llm.urls import bloom, may_hold
 
 #: Words of the shortest tile, the share of an item's words that makes a leak.
 SHORTEST, COVERED = 5, 0.5
-#: Characters of test items that go to the executors at once; more items go in further blocks.
-ITEMS = 8 << 20
+#: Items from which a seed is common: common seeds bring nothing together as long as an item cannot leak by them alone.
+COMMON = 8
+#: Leaked documents that are dropped by a broadcast of their keys; more are by a shuffle.
+FEW = 1_000_000
 _BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,122 +46,173 @@ def _seeds(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def tiles(doc: list[bytes], item: list[bytes], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in doc, start in item, length), longest first, from the seeds' places (doc, item)."""
-    heap: list[tuple[int, int, int]] = []
-    reach: dict[int, int] = {}
-    for d, i in sorted(seeds):
-        if d < reach.get(d - i, -1) or doc[d : d + SHORTEST] != item[i : i + SHORTEST]:
-            continue
-        n = SHORTEST
-        while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n]:
-            n += 1
-        reach[d - i] = d + n - SHORTEST + 1
-        heap.append((-n, d, i))
-    heapq.heapify(heap)
-    in_doc: set[int] = set()
-    in_item = bytearray(len(item))
-    found = []
-    while heap:
-        n, d, i = heapq.heappop(heap)
-        free = [not in_item[i + k] and d + k not in in_doc for k in range(-n)]
-        if all(free):
-            found.append((d, i, -n))
-            in_item[i : i - n] = b"\1" * -n
-            in_doc.update(range(d, d - n))
-            continue
-        start = 0
-        for k in range(len(free) + 1):
-            if k == len(free) or not free[k]:
-                if k - start >= SHORTEST:
-                    heapq.heappush(heap, (start - k, d + start, i + start))
-                start = k + 1
+def _free_runs(free: np.ndarray) -> np.ndarray:
+    """How many unmarked words there are from each place on."""
+    at = np.arange(len(free))
+    ends = np.where(free, len(free), at)
+    return np.minimum.accumulate(ends[::-1])[::-1] - at
+
+
+def tiles(doc: list[bytes], item: list[bytes], shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (start in doc, start in item, length), longest first, then by start. An empty word matches nothing."""
+    code = {w: i for i, w in enumerate(dict.fromkeys(item)) if w}
+    b = np.array([code.get(w, -1) for w in item], dtype=np.int64)
+    a = np.array([code.get(w, -1) for w in doc], dtype=np.int64)
+    runs = [Runs(mixed(c.astype(np.uint64) + np.uint64(1))) for c in (a, b)]
+    free, found = [a >= 0, b >= 0], []
+    longest = min(len(a), len(b))
+
+    def common(n: int, left: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        at, to = (np.flatnonzero(x >= n) for x in left)
+        h, g = (r(x, n) for r, x in zip(runs, (at, to), strict=True))
+        hit = np.isin(h, g)
+        return at[hit], h[hit], to, g
+
+    while longest >= shortest:
+        left = [_free_runs(x) for x in free]
+        low, high = shortest - 1, min(longest, *(int(x.max(initial=0)) for x in left))
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(common(n, left)[0]) else (low, n - 1)
+        if low < shortest:
+            break
+        at, h, to, g = common(low, left)
+        places: dict[int, list[int]] = {}
+        for i, x in zip(to.tolist(), g.tolist(), strict=True):
+            places.setdefault(x, []).append(i)
+        end = 0
+        for d, x in zip(at.tolist(), h.tolist(), strict=True):
+            if not places:
+                break
+            if d < end or x not in places:
+                continue
+            places[x] = [i for i in places[x] if free[1][i : i + low].all()]
+            for i in places[x]:
+                if np.array_equal(a[d : d + low], b[i : i + low]):
+                    found.append((d, i, low))
+                    free[0][d : d + low] = free[1][i : i + low] = False
+                    end = d + low
+                    break
+            if not places[x]:
+                del places[x]
+        longest = low - 1
     return found
 
 
-class Items:
-    """Test items by seed."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.ids, self.words = [r[0] for r in rows], [words_of(r[1]) for r in rows]
-        hashes = [_seeds(w) for w in self.words]
-        of = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-        at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, dtype=np.int64)
-        h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.of, self.at = h[order], of[order], at[order]
-
-    def leaks(self, text: str | None, covered: float) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """(place of an item, its tiles) for each item of which tiles cover enough."""
-        words = words_of(text)
-        h = _seeds(words)
-        low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, side="right")
-        hit = np.flatnonzero(high > low)
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for d in hit:
-            for k in range(low[d], high[d]):
-                seeds.setdefault(int(self.of[k]), []).append((int(d), int(self.at[k])))
-        out = []
-        for item, places in sorted(seeds.items()):
-            most = len({i + k for _, i in places for k in range(SHORTEST)})
-            if most >= covered * len(self.words[item]):
-                found = tiles(words, self.words[item], places)
-                if sum(n for _, _, n in found) >= covered * len(self.words[item]):
-                    out.append((item, found))
-        return out
-
-
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """Distinct items with text, about ITEMS characters at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // ITEMS))
-    for i in range(blocks):
-        yield sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-
-
-SCHEMA = "doc_id long, item_id long, n_words long, n_covered long, coverage double, tiles array<struct<doc_start:long,item_start:long,length:long>>"
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, item) of each distinct seed of each item."""
+    for b in batches:
+        found = [(h, i) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for h in np.unique(_seeds(words_of(t))).view(np.int64).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["seed", "item"])
+
+
+def _telling(covered: float):
+    """(seed, item) of the seeds of which a text must have one to leak the item: all but the most common, as far as these cover too little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for item, text, common in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = _seeds(words_of(text)).view(np.int64)
+                under, rest = np.zeros(len(h) + SHORTEST - 1, dtype=bool), set(h.tolist())
+                for c in sorted(common, key=lambda c: (-c["n"], c["seed"])):
+                    more = under.copy()
+                    for at in np.flatnonzero(h == c["seed"]):
+                        more[at : at + SHORTEST] = True
+                    if more.sum() >= covered * len(more):
+                        break
+                    under = more
+                    rest.discard(c["seed"])
+                out += [(s, item) for s in rest]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["seed", "item"])
+
+    return run
+
+
+def _fragments(sent):
+    """(doc_id, version, seeds, starts, words) of texts with seeds that the filter holds: the runs of words under these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, version, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = words_of(text)
+                h = _seeds(words).view(np.int64)
+                hit = np.flatnonzero(may_hold(sent.value, h))
+                if len(hit):
+                    first = np.concatenate([[True], hit[1:] > hit[:-1] + SHORTEST])
+                    starts, ends = hit[first], hit[np.concatenate([first[1:], [True]])] + SHORTEST
+                    out.append((doc, version, np.unique(h[hit]).tolist(), starts.tolist(), [b" ".join(words[s:e]) for s, e in zip(starts, ends, strict=True)]))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "version", "seeds", "starts", "words"])
+
+    return run
+
+
+SCHEMA = "doc_id long, version long, item_id long, n_words long, n_covered long, coverage double, tiles array<struct<doc_start:long,item_start:long,length:long>>"
+
+
+def _tiled(covered: float):
+    """Tiles of pairs (doc_id, version, starts, words, item_id, text) that cover enough of the item."""
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_start", "item_start", "length")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, version, starts, fragments, item_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                item, words, at = words_of(text), [], []
+                seeds = _seeds(item)
+                for start, fragment in zip(starts, fragments, strict=True):
+                    more = fragment.split()
+                    words += [*more, b""]
+                    at += range(start, start + len(more) + 1)
+                there = np.zeros(len(item), dtype=bool)
+                for i in np.flatnonzero(np.isin(seeds, _seeds(words))):
+                    there[i : i + SHORTEST] = True
+                if there.sum() < covered * len(item):
+                    continue
+                found = tiles(words, item)
+                n = sum(x[2] for x in found)
+                if n >= covered * len(item):
+                    out.append((doc, version, item_id, len(item), n, n / len(item), [{"doc_start": at[d], "item_start": i, "length": n} for d, i, n in found]))
+            kinds = [*[pa.int64()] * 5, pa.float64(), kind]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "version", "item_id", "n_words", "n_covered", "coverage", "tiles"])
+
+    return run
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, covered: float) -> DataFrame:
+    prepare(docs.sparkSession)
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = checkpoint(own.withColumn("item", F.monotonically_increasing_id()))
+    seeds = checkpoint(items.select("item", "text").mapInArrow(_item_seeds, "seed long, item long"))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(seeds.select("seed").distinct(), F.col("seed")))
+    common = seeds.join(seeds.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "seed").groupBy("item").agg(F.collect_list(F.struct("n", "seed")).alias("common"))
+    telling = items.join(common, "item", "left").select("item", "text", F.coalesce("common", F.array().cast("array<struct<n:bigint,seed:bigint>>")).alias("common")).mapInArrow(_telling(covered), "seed long, item long")
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    met = packed_checkpoint(rows.mapInArrow(_fragments(sent), "doc_id long, version long, seeds array<long>, starts array<long>, words array<binary>"))
+    met = met.withColumn("met", F.monotonically_increasing_id())
+    pairs = met.select("met", F.explode("seeds").alias("seed")).join(telling, "seed").select("met", "item").distinct()
+    both = met.drop("seeds").join(pairs, "met").join(items, "item")
+    return both.select("doc_id", "version", "starts", "words", "item_id", "text").mapInArrow(_tiled(covered), SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
-    """A row for each row of docs and item of which at least `covered` of the words lie under tiles.
+    """(doc_id, item_id, n_words, n_covered, coverage, tiles): a row for each row of docs and item of which at least `covered` of the words lie under tiles.
 
     n_words are the item's words, n_covered those under tiles. Items of under SHORTEST words, and null or
     empty texts, match nothing. Items that repeat an id and text count once, others of one id
     each. Rows that repeat a document are judged each, also without a doc_id. Empty tables give none.
     """
-    prepare(docs.sparkSession)
-    rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
-    for block in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value)
-            kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_start", "item_start", "length")]))
-            for b in batches:
-                found = [(doc, k, t) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, t in items.leaks(text, covered)]
-                sizes, sums = [len(items.words[k]) for _, k, _ in found], [sum(x[2] for x in t) for _, _, t in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _, _ in found], pa.int64()), pa.array([items.ids[k] for _, k, _ in found], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array([s / n for s, n in zip(sums, sizes, strict=True)], pa.float64())]
-                    + [pa.array([[dict(zip(("doc_start", "item_start", "length"), x, strict=True)) for x in t] for _, _, t in found], kind)],
-                    names=["doc_id", "item_id", "n_words", "n_covered", "coverage", "tiles"],
-                )
-
-        part = rows.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.union(part)
-    return out
+    return _leaks(docs, benchmark, covered).drop("version")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """The rows of docs, all columns, in which no item is leaked."""
-    prepare(docs.sparkSession)
-    for block in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value)
-            for b in batches:
-                yield b.filter(pa.array([not items.leaks(t, covered) for t in b.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    bad, version = checkpoint(_leaks(docs, benchmark, covered).select("doc_id", "version").distinct()), fresh("version", docs)
+    if bad.count() <= FEW:
+        bad = F.broadcast(bad)
+    marked = docs.withColumn(version, F.xxhash64(F.col("text").cast("string")))
+    return marked.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (marked[version] == bad["version"]), "left_anti").select(*docs.columns)

@@ -38,8 +38,13 @@ def places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), np.uint32(1) << bits.astype(np.uint32)
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """[blocks, 8] words of the filter of the column `key`; parts are built where the keys are, and joined by bit_or."""
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    block, bits = places(hashes, len(words))
+    return (words[block] & bits == bits).all(axis=1)
+
+
+def bloom(keys: DataFrame, hashes: Column | None = None) -> np.ndarray:
+    """[blocks, 8] words of the filter of the column `key`, or of given hashes; parts are built where the keys are, and joined by bit_or."""
     blocks = min(MOST_BLOCKS, max(1, -(-keys.count() // 16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +52,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
             block, bits = places(np.asarray(b.column(0)).astype(np.int64), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(bits[:, i].astype(np.int64)) for i in range(8))], names=["block", *(f"w{i}" for i in range(8))])
 
-    parts = keys.select(F.xxhash64("key").alias("h")).mapInArrow(run, "block long, " + ", ".join(f"w{i} long" for i in range(8)))
+    parts = keys.select((F.xxhash64("key") if hashes is None else hashes).alias("h")).mapInArrow(run, "block long, " + ", ".join(f"w{i} long" for i in range(8)))
     out = np.zeros((blocks, 8), dtype=np.uint32)
     for r in parts.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).toLocalIterator():
         out[r.block] = [r[i + 1] for i in range(8)]
@@ -69,8 +74,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             *kept, keys, hashes = b.columns
-            block, bits = places(np.asarray(hashes.flatten()).astype(np.int64), len(words.value))
-            hit = (words.value[block] & bits == bits).all(axis=1)
+            hit = may_hold(words.value, np.asarray(hashes.flatten()).astype(np.int64))
             row = np.repeat(np.arange(len(keys)), np.asarray(keys.value_lengths()))
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(keys)))])
             yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), keys.flatten().filter(pa.array(hit)))], names=["page_id", "url", "host", "path", "keys"])

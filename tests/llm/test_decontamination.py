@@ -63,13 +63,36 @@ def test_same_tiles_as_the_definition(spark):
     assert any(len(r[4]) == 3 for r in got)
 
 
-def test_blocks_of_items(spark, monkeypatch):
+def test_without_leaks(spark, monkeypatch):
     docs, items = cases()
-    monkeypatch.setattr(dc, "ITEMS", 200)
-    assert ours(spark, docs, items) == brute(docs, items)
     bad = {r[0] for r in brute(docs, items)}
-    kept = dc.without_leaks(spark.createDataFrame([(*r, 1, "x") for r in docs], DOCS), spark.createDataFrame([(*r, 1) for r in items], ITEMS)).collect()
-    assert sorted((r.doc_id, r.text, r.item_id) for r in kept if r.text) == sorted((d, t, 1) for d, t in docs if t and d not in bad)
+    for few in (dc.FEW, 0):
+        monkeypatch.setattr(dc, "FEW", few)
+        kept = dc.without_leaks(spark.createDataFrame([(*r, 1, "x") for r in docs], DOCS), spark.createDataFrame([(*r, 1) for r in items], ITEMS)).collect()
+        assert sorted((r.doc_id, r.text, r.item_id) for r in kept if r.text) == sorted((d, t, 1) for d, t in docs if t and d not in bad)
+        assert {100, 101} <= {r.doc_id for r in kept}
+
+
+def test_common_seeds(spark, monkeypatch):
+    # The last line of each item is the same: no item leaks by it alone, but it counts where the item does.
+    rng = random.Random(4)
+    line = "and this is the line that all of them have in common".split()
+    items = [(i, " ".join([f"w{rng.randrange(3000)}" for _ in range(14)] + line)) for i in range(40)]
+    docs = [(i, " ".join(["x"] * 9 + items[i][1].split()[14 - i % 15 :] + ["y"] * 5)) for i in range(40)]
+    monkeypatch.setattr(dc, "COMMON", 2)
+    assert ours(spark, docs, items) == brute(docs, items)
+
+
+def test_repetitive_texts():
+    rng = random.Random(5)
+    for _ in range(40):
+        doc, item = ([rng.choice([b"a", b"a", b"a", b"b"]) for _ in range(n)] for n in (60, 25))
+        assert dc.tiles(doc, item) == brute_tiles(doc, item)
+
+
+def test_very_long_text_of_one_word(spark):
+    items = [(1, "a " * 60), (2, "a a a b " * 10)]
+    assert [(r[1], r[3]) for r in ours(spark, [(7, "a " * 500_000)], items)] == [(1, 60)]
 
 
 def test_empty(spark):
