@@ -3,7 +3,7 @@
 With A the window's features over their deviations, b the predicted row's likewise, the forecast is
 b'A'(AA' + lam T I)^-1 y, which needs only T x T matrices however many features there are. AA' grows
 by blocks of features along the grid, and one eigendecomposition serves all penalties, so grid and
-penalties stay inside a task; windows, seeds and chunks of rows are the tasks.
+penalties stay inside a task; series, windows, seeds and chunks of rows are the tasks.
 """
 
 from __future__ import annotations
@@ -12,15 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import GAMMA, PERIOD, RunConfig
 from ridgeline.operators.grids import p_grid
 from ridgeline.sources.synthetic import draw_weights
 
-#: Rows of one sample that go to the executors; a sample is a series of periods.
-MOST_ROWS = 500_000
 SCHEMA = f"window long, seed long, t long, {PERIOD} long, y double, pi long, p long, lam double, yprd double, bnrm double"
 
 
@@ -77,37 +75,50 @@ def fit_rows(x: np.ndarray, y: np.ndarray, first: int, last: int, *, window: int
     return out[0], out[1]
 
 
-def rolling_ridge(prepared: DataFrame, inputs: list[str], cfg: RunConfig) -> DataFrame:
-    """(window, seed, t, yyyymm, y, pi, p, lam, yprd, bnrm) over all windows, seeds, grid points and penalties.
+def _chunked(prepared: DataFrame, inputs: list[str], windows, size: int, by: tuple[str, ...]) -> DataFrame:
+    """(by.., window, chunk, rows): chunks of `size` rows of a series with the window's rows before them, each a bounded array."""
+    order = Window.partitionBy(*by).orderBy("t") if by else Window.orderBy("t")
+    rows = prepared.withColumn("__i", F.row_number().over(order).cast("long") - 1)
+    lengths = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    if lengths.where(F.col("__n") <= max(windows)).limit(1).count() or by == () and lengths.first()[0] == 0:
+        raise ValueError("the sample is shorter than a window")
+    w = F.explode(F.array(*(F.lit(w).cast("long") for w in windows)))
+    i, first = F.col("__i"), F.greatest(F.ceil((F.col("__i") - F.col("window") - size + 1) / size), F.lit(0))
+    rows = rows.withColumn("window", w).withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, F.floor(i / size)).cast("long"))))
+    inside = (i >= F.col("chunk") * size) & (i < F.col("chunk") * size + F.col("window") + size)
+    row = F.struct("__i", "t", PERIOD, "y", F.array(*(F.col(c).cast("double") for c in inputs)).alias("x"))
+    chunks = rows.where(inside).groupBy(*by, "window", "chunk").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return chunks.where(F.size("rows") > F.col("window"))
+
 
-    prepared: (t, yyyymm, inputs.., y), one sample. It goes to the executors once, its size checked; weights are
-    drawn in the tasks from their seed. Chunks of rows are independent, so a lost task repeats only its own.
+def rolling_ridge(prepared: DataFrame, inputs: list[str], cfg: RunConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., window, seed, t, yyyymm, y, pi, p, lam, yprd, bnrm) over all series, windows, seeds, grid points and penalties.
+
+    prepared: (by.., t, yyyymm, inputs.., y); by names the columns that tell series apart (none: one series). Each chunk of
+    a series travels with the rows its windows need, weights are drawn in the tasks from their seed; so neither the
+    driver nor a task ever holds a series, and a lost task repeats only its own chunks. Rows must have no nulls.
     """
     spark = prepared.sparkSession
-    rows = prepared.select("t", PERIOD, *inputs, "y").orderBy("t").limit(MOST_ROWS + 1).toPandas()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"a sample of over {MOST_ROWS} rows; split it into series")
-    if any(len(rows) <= w for w in cfg.windows):
-        raise ValueError("the sample is shorter than a window")
-    x, y, t, period = rows[list(inputs)].to_numpy(float), rows["y"].to_numpy(float), rows["t"].to_numpy(), rows[PERIOD].to_numpy()
-    sent = spark.sparkContext.broadcast((x, y, t, period))
-    tasks = [(w, s, a, min(a + cfg.chunk_windows, len(y))) for w in cfg.windows for s in cfg.seeds for a in range(w, len(y), cfg.chunk_windows)]
+    kinds = {f.name: f.dataType.simpleString() for f in prepared.schema}
+    seeds = F.broadcast(spark.createDataFrame([(s,) for s in cfg.seeds], "seed long"))
+    tasks = _chunked(prepared, inputs, cfg.windows, cfg.chunk_windows, by).crossJoin(seeds)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, t, period = sent.value
         for frame in frames:
-            for task in frame.itertuples(index=False):
-                grid = p_grid(task.window, cfg.max_p)
-                weights = draw_weights(task.seed, x.shape[1], grid[-1] // 2)
-                yprd, bnrm = fit_rows(x, y, task.lo, task.hi, window=task.window, grid=grid, lambdas=cfg.lambdas, weights=weights, gamma=cfg.gamma, dtype=cfg.dtype, block=cfg.chunk_half_features)
+            for task in frame.to_dict("records"):
+                x, y = np.array([r["x"] for r in task["rows"]]), np.array([r["y"] for r in task["rows"]])
+                t, period = (np.array([r[c] for r in task["rows"]]) for c in ("t", PERIOD))
+                grid = p_grid(task["window"], cfg.max_p)
+                weights = draw_weights(task["seed"], x.shape[1], grid[-1] // 2)
+                yprd, bnrm = fit_rows(x, y, task["window"], len(y), window=task["window"], grid=grid, lambdas=cfg.lambdas, weights=weights, gamma=cfg.gamma, dtype=cfg.dtype, block=cfg.chunk_half_features)
                 k, n_p, n_l = yprd.shape
-                each = np.repeat(np.arange(task.lo, task.hi), n_p * n_l)
-                yield pd.DataFrame({
-                    "window": task.window, "seed": task.seed, "t": t[each], PERIOD: period[each], "y": y[each],
+                each = np.repeat(np.arange(task["window"], len(y)), n_p * n_l)
+                yield pd.DataFrame({c: task[c] for c in by} | {
+                    "window": task["window"], "seed": task["seed"], "t": t[each], PERIOD: period[each], "y": y[each],
                     "pi": np.tile(np.repeat(np.arange(n_p), n_l), k), "p": np.tile(np.repeat(grid, n_l), k), "lam": np.tile(cfg.lambdas, k * n_p),
                     "yprd": yprd.ravel(), "bnrm": bnrm.ravel(),
                 })
 
-    # A task a partition: they are heavy and few, so none should wait behind another.
-    frame = spark.createDataFrame(tasks, "window long, seed long, lo long, hi long")
-    return frame.repartition(max(1, len(tasks)), F.col("window"), F.col("seed"), F.col("lo")).mapInPandas(run, SCHEMA)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), SCHEMA])
+    # Chunks and seeds are heavy rows: they are dealt out evenly, so that few wait behind another.
+    return tasks.repartition(F.col("window"), F.col("seed"), F.col("chunk"), *(F.col(c) for c in by)).mapInPandas(run, schema)

@@ -15,7 +15,7 @@ from ridgeline.operators.predictors import INPUTS
 from ridgeline.plans import report
 from ridgeline.plans.run import metrics_of
 from ridgeline.sources import tables
-from ridgeline.sources.synthetic import draw_weights, sparse_regression
+from ridgeline.sources.synthetic import draw_weights, regression_sample, sparse_beta
 
 SEEDS, T, LAM = (1, 2, 3, 4, 5), 12, 0.1
 _WEIGHTS = {s: [float(x) for x in draw_weights(s, len(INPUTS), 1)[0]] for s in SEEDS}
@@ -45,8 +45,7 @@ def predictions_p2(spark, sf, seeds=SEEDS, lambdas=(LAM,)) -> DataFrame:
     w = spark.createDataFrame([(s, _WEIGHTS[s]) for s in seeds], "seed long, w array<double>")
     g = reduce(lambda a, b: a + b, (F.col(c) * F.col("w")[i] for i, c in enumerate(INPUTS))) * 2.0
     z = scaling.prepare(monthly(spark, sf)).crossJoin(F.broadcast(w)).select("seed", "t", "yyyymm", "y", F.cos(g).alias("z1"), F.sin(g).alias("z2"))
-    parts = [ridge_sql.rolling_ridge(z, T, lam, by=("seed",)).withColumn("lam", F.lit(lam)) for lam in lambdas]
-    return reduce(DataFrame.unionByName, parts)
+    return ridge_sql.rolling_ridge(z, T, tuple(lambdas), by=("seed",))
 
 
 def per_seed(spark, sf, lambdas=(LAM,)) -> DataFrame:
@@ -124,6 +123,17 @@ def q_ridge_grid_udf(spark, sf):
     return rounded(grid_predictions(spark, sf)[0], keep=("lam",))
 
 
+def q_ridge_kernel_weekly(spark, sf):
+    """The kernel's longer windows, on the weekly panel."""
+    cfg = RunConfig(windows=(60, 120), n_seeds=1, max_p=4)
+    found = ridge.rolling_ridge(scaling.prepare(weekly(spark, sf)), list(INPUTS), cfg)
+    return rounded(found.select("window", "yyyymm", "p", "lam", "yprd", "bnrm"), keep=("lam",))
+
+
+def q_run_metrics_small(spark, sf):
+    return rounded(metrics_of(*grid_predictions(spark, sf, max_p=4)).drop("window"), keep=("lam",))
+
+
 def q_run_metrics(spark, sf):
     return rounded(metrics_of(*grid_predictions(spark, sf)), keep=("lam",))
 
@@ -230,9 +240,9 @@ def q_ridgeless(spark, sf):
 
 
 def q_gamma_sweep(spark, sf):
-    x, y, beta = sparse_regression(squared=True)
-    x_test, y_test, _ = sparse_regression(seed=456, beta=beta, squared=True)
-    return rounded(linear.gamma_sweep(spark, x, y, x_test, y_test, (0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0), n=500), keep=("gamma",))
+    beta = sparse_beta(120, 8, stream=7)
+    (x, y), (x_test, y_test) = (regression_sample(rows, beta, noise=0.2, stream=k, curved=True) for k, rows in ((7, 60), (8, 90)))
+    return rounded(linear.gamma_sweep(spark, x, y, x_test, y_test, (0.02, 0.1, 0.3, 1.0, 3.0, 9.0), n=1000), keep=("gamma",))
 
 
 def q_sweep_cross(spark, sf):
@@ -265,6 +275,8 @@ QUERIES = {
     "ridge_kernel_p2": q_ridge_kernel_p2,
     "ridge_small_p": q_ridge_small_p,
     "ridge_grid_udf": q_ridge_grid_udf,
+    "ridge_kernel_weekly": q_ridge_kernel_weekly,
+    "run_metrics_small": q_run_metrics_small,
     "run_metrics": q_run_metrics,
     "timing_moments": q_timing_moments,
     "oos_r2": q_oos_r2,
@@ -379,21 +391,56 @@ def _p2(seeds=SEEDS, lambdas=(LAM,)) -> str:
     pred AS (SELECT seed, lam, t, yyyymm, y, b1 * a + b2 * b AS yprd, b1 * b1 + b2 * b2 AS bnrm FROM beta)"""
 
 
+def _base(period: str) -> str:
+    return f"WITH {_panel(period)}, {GW}, {XY}, {PREP}"
+
+
+def _solved(name: str, half: int, seeds, lambdas, window: int) -> str:
+    """CTEs from prep to `name` (seed, lam, t, yyyymm, y, yprd, bnrm): windowed moments of 2 * half features, then elimination pivot by pivot."""
+    n = 2 * half
+    g = " UNION ALL ".join(
+        f"SELECT CAST({s} AS BIGINT) AS seed, t, yyyymm, y, " + ", ".join(f"2 * ({' + '.join(f'{c} * {_num(float(x))}' for c, x in zip(INPUTS, row, strict=True))}) AS g{j}" for j, row in enumerate(draw_weights(s, len(INPUTS), half))) + " FROM prep"
+        for s in seeds
+    )
+    pairs, own = [(i, j) for i in range(n) for j in range(i, n)], "seed, lam, t, yyyymm, y"
+    z = ", ".join(f"{'cos' if i < half else 'sin'}(g{i % half}) AS z{i}" for i in range(n))
+    moments = ", ".join([f"stddev_samp(z{i}) OVER f AS s{i}, sum(z{i} * y) OVER f AS r{i}" for i in range(n)] + [f"sum(z{i} * z{j}) OVER f AS k{i}_{j}" for i, j in pairs])
+    scaled = ", ".join([f"z{i} / s{i} AS z{i}, r{i} / s{i} AS r{i}" for i in range(n)] + [f"k{i}_{j} / (s{i} * s{j})" + (f" + lam * {window}" if i == j else "") + f" AS k{i}_{j}" for i, j in pairs])
+    out = [f"{name}g AS ({g})", f"{name}z AS (SELECT seed, t, yyyymm, y, {z} FROM {name}g)", _lams(lambdas).replace("lams", f"{name}l", 1)]
+    out.append(f"{name}m AS (SELECT *, count(*) OVER f AS n, {moments} FROM {name}z WINDOW f AS (PARTITION BY seed ORDER BY t ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING))")
+    out.append(f"{name}e0 AS (SELECT {own}, {scaled} FROM {name}m, {name}l WHERE n = {window})")
+    for p in range(n - 1):
+        new = [f"k{i}_{j} - k{p}_{i} / k{p}_{p} * k{p}_{j} AS k{i}_{j}" for i, j in pairs if i > p] + [f"r{i} - k{p}_{i} / k{p}_{p} * r{p} AS r{i}" for i in range(p + 1, n)]
+        out.append(f"{name}e{p + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM {name}e{p})")
+    at = f"{name}e{n - 1}"
+    for i in reversed(range(n)):
+        rest = "".join(f" - k{i}_{j} * b{j}" for j in range(i + 1, n))
+        out.append(f"{name}b{i} AS (SELECT *, (r{i}{rest}) / k{i}_{i} AS b{i} FROM {at})")
+        at = f"{name}b{i}"
+    out.append(f"{name} AS (SELECT {own}, {' + '.join(f'b{i} * z{i}' for i in range(n))} AS yprd, {' + '.join(f'b{i} * b{i}' for i in range(n))} AS bnrm FROM {at})")
+    return ", ".join(out)
+
+
 def _subs() -> str:
     rows = ["('full', NULL, NULL)"] + [f"('{a}-{b}', {a}01, {b}12)" for a, b in YEARS]
     return "subs(subsample, lo, hi) AS (VALUES " + ", ".join(rows) + ")"
 
 
 def _per_seed(lambdas=(LAM,)) -> str:
-    return f"""{_p2(SEEDS, lambdas)}, {_subs()},
+    return f"{_p2(SEEDS, lambdas)}, {_metrics('seed, lam')}"
+
+
+def _metrics(keys: str) -> str:
+    """CTEs from pred (keys, yyyymm, y, yprd, bnrm) to the metrics of each subsample and seed."""
+    return f"""{_subs()},
     s AS (SELECT subs.subsample, pred.*, yprd * y AS tm FROM pred JOIN subs ON (lo IS NULL OR yyyymm >= lo) AND (hi IS NULL OR yyyymm <= hi)),
     c AS (
-        SELECT subsample, seed, lam, count(*) AS n, 1 - var_samp(yprd - y) / var_samp(y) AS r2, avg(tm) AS er, stddev_samp(tm) AS vol, avg(y) AS my,
+        SELECT subsample, {keys}, count(*) AS n, 1 - var_samp(yprd - y) / var_samp(y) AS r2, avg(tm) AS er, stddev_samp(tm) AS vol, avg(y) AS my,
                covar_pop(tm, y) / var_pop(y) AS slope, var_pop(y) * count(*) AS sxx, var_pop(tm) * count(*) AS syy, covar_pop(tm, y) * count(*) AS sxy, avg(bnrm) AS bnrm
         FROM s GROUP BY ALL
     ),
     e AS (SELECT *, er / vol AS sr, er - slope * my AS alpha, syy - sxy * sxy / sxx AS rss FROM c),
-    seeds AS (SELECT subsample, seed, lam, r2, er, vol, sr, alpha, alpha / sqrt(rss / (n - 2) * (1.0 / n + my * my / sxx)) AS alpha_t, alpha / sqrt(rss / (n - 1)) AS ir, bnrm FROM e)"""
+    seeds AS (SELECT subsample, {keys}, r2, er, vol, sr, alpha, alpha / sqrt(rss / (n - 2) * (1.0 / n + my * my / sxx)) AS alpha_t, alpha / sqrt(rss / (n - 1)) AS ir, bnrm FROM e)"""
 
 
 def _across() -> str:
@@ -466,6 +513,13 @@ ORACLES = {
     "ridge_p2": f"{_p2((1,))} SELECT yyyymm, {_r('y', 'yprd')} FROM pred",
     "beta_norm_p2": f"{_p2((1,))} SELECT yyyymm, {_r('bnrm')} FROM pred",
     "ridge_kernel_p2": f"{_p2((1, 2), LAMBDAS)} SELECT seed, yyyymm, lam, {_r('yprd', 'bnrm')} FROM pred",
+    "ridge_small_p": f"{_base(WEEK)}, {_solved('pred', 3, (1,), (LAM,), T)} SELECT CAST(t AS BIGINT) AS t, yyyymm, {_r('y', 'yprd', 'bnrm')} FROM pred",
+    "ridge_kernel_weekly": f"{_base(WEEK)}, {', '.join(_solved(f'w{w}h{h}', h, (1,), LAMBDAS, w) for w in (60, 120) for h in (1, 2))}, pred AS ("
+    + " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS window, CAST({2 * h} AS BIGINT) AS p, * FROM w{w}h{h}" for w in (60, 120) for h in (1, 2))
+    + f") SELECT window, yyyymm, p, lam, {_r('yprd', 'bnrm')} FROM pred",
+    "run_metrics_small": f"{BASE}, {', '.join(_solved(f'h{h}', h, (1, 2), LAMBDAS, T) for h in (1, 2))}, pred AS ("
+    + " UNION ALL ".join(f"SELECT CAST({2 * h} AS BIGINT) AS p, * FROM h{h}" for h in (1, 2))
+    + f"), {_metrics('seed, lam, p')} SELECT subsample, p, lam, count(*) AS n_seeds, {_across()} FROM seeds GROUP BY subsample, p, lam",
     "timing_moments": f"{_per_seed()} SELECT subsample, seed, {_r('er', 'vol', 'sr')} FROM seeds",
     "oos_r2": f"{_per_seed()} SELECT subsample, seed, {_r('r2')} FROM seeds",
     "ols_alpha": f"{_per_seed()} SELECT subsample, seed, {_r('alpha', 'alpha_t', 'ir')} FROM seeds",

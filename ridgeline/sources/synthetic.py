@@ -1,4 +1,4 @@
-"""Seeded inputs: weights of random features, and regressions with a sparse signal."""
+"""Seeded inputs: weights of random features, and regressions whose signal is in a few inputs."""
 
 from __future__ import annotations
 
@@ -10,11 +10,19 @@ def draw_weights(seed: int, n_inputs: int, max_half: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((max_half, n_inputs))
 
 
-def sparse_regression(t: int = 50, p: int = 200, signal_dims: int = 10, noise_std: float = 0.1, seed: int = 123, beta: np.ndarray | None = None, squared: bool = False):
-    """(X, y, beta): normal inputs of which the first few matter, linearly or through the square of their sum."""
-    rng = np.random.default_rng(seed)
-    if beta is None:
-        beta = np.concatenate([rng.normal(size=signal_dims), np.zeros(p - signal_dims)])
-    x = rng.normal(size=(t, p))
-    mean = x @ beta
-    return x, (mean**2 / signal_dims if squared else mean) + rng.normal(scale=noise_std, size=t), beta
+def signal(x: np.ndarray, beta: np.ndarray, curved: bool = False) -> np.ndarray:
+    """The noiseless response: x beta, or its square over the number of inputs that matter."""
+    line = x @ beta
+    return line**2 / np.count_nonzero(beta) if curved else line
+
+
+def regression_sample(rows: int, beta: np.ndarray, noise: float, stream: int, curved: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of standard normal inputs and signal() with normal noise of that deviation; inputs and noise have streams of their own."""
+    inputs, errors = (np.random.default_rng((stream, part)) for part in (0, 1))
+    x = inputs.standard_normal((rows, len(beta)))
+    return x, signal(x, beta, curved) + noise * errors.standard_normal(rows)
+
+
+def sparse_beta(width: int, active: int, stream: int) -> np.ndarray:
+    """Coefficients of which only the first `active` differ from zero."""
+    return np.pad(np.random.default_rng((stream, 2)).standard_normal(active), (0, width - active))

@@ -7,7 +7,7 @@ from ridgeline.config import PERCENTILES, RunConfig
 from ridgeline.operators import grids, linear, metrics
 from ridgeline.plans import report, run
 from ridgeline.sources import tables
-from ridgeline.sources.synthetic import sparse_regression
+from ridgeline.sources.synthetic import regression_sample, sparse_beta
 
 
 def frame(spark, yprd, y, bnrm=None, start=1930):
@@ -75,12 +75,12 @@ def test_report(spark):
 
 
 def test_linear(spark):
-    x, y, _ = sparse_regression(t=80, p=6, signal_dims=3)
+    x, y = regression_sample(80, sparse_beta(6, 3, 1), 0.1, 1)
     df = spark.createDataFrame([([float(v) for v in r], float(t)) for r, t in zip(x, y)] + [(None, 1.0)], "v array<double>, y double").repartition(3)
     beta = [r.beta for r in linear.ols(df, "v", "y").orderBy("j").collect()]
     np.testing.assert_allclose(beta, np.linalg.lstsq(x, y, rcond=None)[0], rtol=1e-8)
     np.testing.assert_allclose([r.eigenvalue for r in linear.spectrum(df, "v").orderBy("k").collect()], np.linalg.eigvalsh(x.T @ x / 80), rtol=1e-8)
-    wide, t, _ = sparse_regression(t=10, p=30)
+    wide, t = regression_sample(10, sparse_beta(30, 10, 2), 0.1, 2)
     few = spark.createDataFrame([([float(v) for v in r], float(s)) for r, s in zip(wide, t)], "v array<double>, y double")
     np.testing.assert_allclose([r.beta for r in linear.ridgeless(few, "v", "y").orderBy("j").collect()], np.linalg.pinv(wide) @ t, atol=1e-8)
     np.testing.assert_allclose(linear.least_norm(wide, t), np.linalg.pinv(wide) @ t, atol=1e-8)
@@ -111,7 +111,8 @@ def test_whole_run(spark, tmp_path):
     assert found.count() == 2 * n * 7 and len(found.columns) == 85
     saved = spark.read.parquet(f"{tmp_path}/predictions")
     assert saved.count() == 2 * 30 * n * 7 and {"window", "seed", "date", "p", "lam", "yprd", "bnrm", "y_true"} <= set(saved.columns)
-    args = run.parse_args([])
-    assert args.windows == [12, 60, 120] and args.n_seeds == 10 and args.max_p == 12_000
+    assert run.parse_args([]) == (RunConfig(), ".")
+    given = ["--windows", "12", "24", "--n-seeds", "3", "--max-p", "48", "--save-predictions", "--root", "there", "--lambdas", "0.5", "2"]
+    assert run.parse_args(given) == (RunConfig(windows=(12, 24), n_seeds=3, max_p=48, save_predictions=True, lambdas=(0.5, 2.0)), "there")
     with pytest.raises(ValueError):
         RunConfig(dtype="half")

@@ -1,10 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.config import LAMBDAS, RunConfig
 from ridgeline.operators import grids, random_features, ridge, ridge_sql
-from ridgeline.sources.synthetic import draw_weights, sparse_regression
+from ridgeline.sources.synthetic import draw_weights, regression_sample, signal, sparse_beta
 
 
 def primal(x, y, window, grid, lambdas, weights, gamma=2.0):
@@ -102,6 +103,24 @@ def test_distributed_sweep(spark):
         ridge.rolling_ridge(df.limit(10), ["x0"], cfg)
 
 
+@pytest.mark.parametrize("window", [12, 60, 120])
+def test_many_series_at_once(spark, window):
+    """Each series as if alone, for all published windows, whatever the chunks."""
+    frames = []
+    for k, n in enumerate((window + 1, window + 30, window + 47)):
+        frames.append(sample(spark, n)[2].selectExpr(f"'s{k}' AS name", "t + 100 AS t", "yyyymm", f"x0 * {k + 1} AS x0", "x1", "x2", "x3", "y"))
+    cfg = RunConfig(windows=(window,), n_seeds=2, max_p=2 * window, lambdas=(0.1, 10.0), chunk_windows=20)
+    together = ridge.rolling_ridge(frames[0].union(frames[1]).union(frames[2]).repartition(5), ["x0", "x1", "x2", "x3"], cfg, by=("name",))
+    order = ["name", "seed", "t", "pi", "lam"]
+    got = together.toPandas().sort_values(order).reset_index(drop=True)
+    alone = [ridge.rolling_ridge(f.drop("name"), ["x0", "x1", "x2", "x3"], cfg).toPandas().assign(name=f"s{k}") for k, f in enumerate(frames)]
+    want = pd.concat(alone).sort_values(order).reset_index(drop=True)[got.columns]
+    pd.testing.assert_frame_equal(got, want, rtol=1e-8)
+    assert got.groupby("name").t.nunique().tolist() == [1, 30, 47]
+    with pytest.raises(ValueError, match="shorter"):
+        ridge.rolling_ridge(frames[0].union(frames[1].limit(window)), ["x0"], cfg, by=("name",))
+
+
 @pytest.mark.parametrize("half", [1, 2, 3])
 def test_window_functions_agree_with_primal(spark, half):
     x, y, df = sample(spark)
@@ -117,7 +136,7 @@ def test_grids(spark):
     assert [len(grids.p_grid(t)) for t in (12, 60, 120)] == [165, 91, 82]
     assert grids.p_grid(12)[:8] == [2, 5, 6, 7, 8, 10, 12, 14] and grids.p_grid(12)[-1] == 12_000
     assert grids.p_grid(12, 24)[-1] == 24 and grids.feature_count(13) == 12 and grids.feature_count(12) == 12
-    for bad in (lambda: grids.p_grid(9), lambda: grids.steps(1, 0, 2), lambda: grids.multiples(0, 10)):
+    for bad in (lambda: grids.p_grid(9), lambda: grids.grid_frame(spark, (12, 9)), lambda: grids.multiples(0, 10)):
         with pytest.raises(ValueError):
             bad()
     frame = grids.grid_frame(spark, (12, 60, 120), 12_000).orderBy("window", "pi").collect()
@@ -137,9 +156,13 @@ def test_weights_and_features():
     k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
     np.testing.assert_allclose(z @ z.T, k, atol=0.06)
     np.testing.assert_allclose(random_features.phase_features(x, 20000, 0.5) @ random_features.phase_features(x, 20000, 0.5).T, k, atol=0.06)
-    xs, ys, beta = sparse_regression(noise_std=0.0)
+    beta = sparse_beta(30, 4, 1)
+    xs, ys = regression_sample(20, beta, 0.0, 1)
     np.testing.assert_allclose(ys, xs @ beta)
-    assert (beta[10:] == 0).all() and (sparse_regression(squared=True, noise_std=0.0)[1] >= 0).all()
+    assert (beta[4:] == 0).all() and (beta[:4] != 0).all()
+    np.testing.assert_allclose(regression_sample(20, beta, 0.0, 1, curved=True)[1], (xs @ beta) ** 2 / 4)
+    noisy = regression_sample(4000, beta, 0.5, 1)
+    assert abs(np.std(noisy[1] - signal(noisy[0], beta)) - 0.5) < 0.03
 
 
 def test_projection_scales_with_gamma(spark):
