@@ -515,8 +515,8 @@ ORACLES = {
     "ridge_kernel_p2": f"{_p2((1, 2), LAMBDAS)} SELECT seed, yyyymm, lam, {_r('yprd', 'bnrm')} FROM pred",
     "ridge_small_p": f"{_base(WEEK)}, {_solved('pred', 3, (1,), (LAM,), T)} SELECT CAST(t AS BIGINT) AS t, yyyymm, {_r('y', 'yprd', 'bnrm')} FROM pred",
     "ridge_kernel_weekly": f"{_base(WEEK)}, {', '.join(_solved(f'w{w}h{h}', h, (1,), LAMBDAS, w) for w in (60, 120) for h in (1, 2))}, pred AS ("
-    + " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS window, CAST({2 * h} AS BIGINT) AS p, * FROM w{w}h{h}" for w in (60, 120) for h in (1, 2))
-    + f") SELECT window, yyyymm, p, lam, {_r('yprd', 'bnrm')} FROM pred",
+    + " UNION ALL ".join(f"SELECT CAST({w} AS BIGINT) AS \"window\", CAST({2 * h} AS BIGINT) AS p, * FROM w{w}h{h}" for w in (60, 120) for h in (1, 2))
+    + f") SELECT \"window\", yyyymm, p, lam, {_r('yprd', 'bnrm')} FROM pred",
     "run_metrics_small": f"{BASE}, {', '.join(_solved(f'h{h}', h, (1, 2), LAMBDAS, T) for h in (1, 2))}, pred AS ("
     + " UNION ALL ".join(f"SELECT CAST({2 * h} AS BIGINT) AS p, * FROM h{h}" for h in (1, 2))
     + f"), {_metrics('seed, lam, p')} SELECT subsample, p, lam, count(*) AS n_seeds, {_across()} FROM seeds GROUP BY subsample, p, lam",
