@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in one Arrow batch, as documents can be long; bytes of text handled at once by a task that gathers batches.
-ARROW_BYTES, CHUNK = 4 << 20, 8 << 20
+ARROW_BYTES, CHUNK = 4 << 20, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -62,6 +64,13 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system, as workers outlive their tasks beside each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = 0) -> Iterator[pa.Table]:
     """Batches put together to about `size` bytes (CHUNK if 0)."""
     held, n = [], 0
@@ -69,10 +78,15 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = 0) -> Iterator[pa.Tabl
         held.append(b)
         n += b.nbytes
         if n >= (size or CHUNK):
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+            t, held, n = pa.Table.from_batches(held), [], 0
+            yield t
+            del b, t
+            release()
     if held:
-        yield pa.Table.from_batches(held)
+        t, held = pa.Table.from_batches(held), []
+        yield t
+        del t
+        release()
 
 
 def longs(values: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -34,7 +34,7 @@ from ridgeline.llm.common import batch, checkpoint, chunks, fresh, longs, mixed,
 
 WINDOW, MINIMIZER = 20, 6
 #: Bytes of text handled at once by a task.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Occurrences from which a minimizer is hot, and how many minimizers can be so (the hottest).
 HOT, HOTTEST = 4096, 1 << 16
 #: In place of a neighbouring edge: the text ends, or occurrences go on differently.
@@ -82,9 +82,10 @@ class Texts:
         split, vocabulary = [words_of(t) for t in texts], {}
         sizes = np.array([len(t) for t in split], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in split for w in t), dtype=np.int64, count=int(self.starts[-1]))
+        self.words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in split for w in t), dtype=np.int32, count=int(self.starts[-1]))
         hashes = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary)))
-        self.of, self.window = np.repeat(np.arange(len(split)), sizes), window
+        self.of, self.window = np.repeat(np.arange(len(split), dtype=np.int32), sizes), window
+        del split, vocabulary
         self.runs = Runs(hashes[self.words])
         n = len(self.words)
         self.short = self.runs(np.arange(max(0, n - k + 1)), k)
