@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,12 @@ def packed_checkpoint(df: DataFrame) -> DataFrame:
     return checkpoint(df.mapInArrow(pack, "rows binary")).mapInArrow(unpack, schema)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver forget plans that nothing holds any more, upon which Spark removes the files of their shuffles; for the few places between large shuffles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

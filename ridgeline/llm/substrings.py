@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import batch, checkpoint, chunks, fresh, longs, mixed, packed_checkpoint, parts_of, prepare, sorted_runs, whole_runs
+from ridgeline.llm.common import batch, checkpoint, chunks, fresh, let_go, longs, mixed, packed_checkpoint, parts_of, prepare, sorted_runs, whole_runs
 
 WINDOW, MINIMIZER = 20, 6
 #: Bytes of text handled at once by a task.
@@ -345,10 +345,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> tuple[
     met = asks.mapInArrow(_met, "doc_id long, v long, packed long")
     alive = checkpoint(met.groupBy("doc_id", "v").agg(F.collect_set("packed").alias("spans")))
     hot = alive.where("doc_id IS NULL").orderBy(F.desc(F.col("spans")[0]), "v").limit(HOTTEST).select("v").collect()
+    del asks, met
+    let_go(docs.sparkSession)
     made = with_(alive.where("doc_id IS NOT NULL")).mapInArrow(
         _edges(window, k, spans, version, np.array([r.v for r in hot], dtype=np.int64)), "key long, doc_id long, v long, packed long, edges binary"
     )
     found = packed_checkpoint(made.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_segments, ", ".join(f"{c} long" for c in _SEGMENTS)))
+    del made, alive
+    let_go(docs.sparkSession)
 
     paths = packed_checkpoint(_paths(found.where(F.col("kind") == SEGMENT)))
     at = F.shiftright("packed", 32).alias("at")
@@ -356,6 +360,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> tuple[
     places = later.unionByName(paths.select("*", F.col("doc0").alias("doc_id"), F.col("v0").alias("v"), F.col("at0").alias("at")))
     span = F.struct("at", "n", (F.col("n") + window - 1).alias("words"), "doc0", "v0", "at0")
     asked = packed_checkpoint(places.groupBy("doc_id", "v").agg(F.collect_set(span).alias("spans")))
+    del later, places
+    let_go(docs.sparkSession)
     path = ["doc0", "v0", "at0"]
     spelled = with_(asked).mapInArrow(_spell(spans, version), _SPELLED).repartition(parts, *path).sortWithinPartitions(*path, "doc_id", "at")
     told = found.where(F.col("kind") == TOLD).select("doc_id", "v", "packed").union(spelled.mapInArrow(_verified, "doc_id long, v long, packed long"))
