@@ -21,7 +21,7 @@ from ridgeline.llm.common import prepare
 
 BITS, LONGEST, SEED = 15, 3, 5
 BUCKETS = 1 << BITS
-#: Training texts that the regression reads at most of each language (about, by a hash of the id), and of all (a hard bound).
+#: Training texts that the regression reads at most of each language (about, by a hash of the id; fewer of each if languages are many), and of all (a hard bound).
 SAMPLE, MOST = 1500, 30_000
 #: FTRL: learning rate and its smoothing, the L1 and L2 penalties, passes; every fifth row is for the temperature.
 ALPHA, BETA, L1, L2, PASSES, CALIBRATE = 0.5, 1.0, 0.02, 0.01, 2, 5
@@ -134,7 +134,7 @@ def train(docs: DataFrame) -> Model:
         idf[r.bucket] = np.log((1 + n) / (1 + r.n)) + 1
     if not languages:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(SAMPLE / k)) for x, k in sizes.items()))
+    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(SAMPLE, 0.9 * MOST / len(sizes)) / k)) for x, k in sizes.items()))
     chosen = told.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "lang", "text")
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
