@@ -29,6 +29,8 @@ from ridgeline.llm.common import checkpoint, prepare
 STATES, TOP, CLASSES, ENDING, ROUNDS, SEED = 6, 2048, 512, 3, 5, 7
 #: Bytes of text in a block, tokens in one group of texts that are walked side by side.
 BLOCK, GROUP = 16 << 20, 300_000
+#: Tokens of one text that are walked at once; of longer texts only the state before each such stretch is held.
+STRETCH = GROUP
 UNIT = 2.0**16
 #: Weight, in tokens, of the corpus-wide symbol frequencies in each state's emissions.
 PRIOR = 50.0
@@ -130,17 +132,18 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(0, [every[0, s]], [0], [0], [_z(every[1, s:e].astype(np.int32))], [_z(every[2, s:e])])
 
     def runs() -> Iterator[pa.Table]:
-        held, size = [], 0
+        held, size, enough = [], 0, ROWS
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= ROWS:
+            if size >= enough:
                 t = pa.Table.from_batches(held).combine_chunks()
                 other = np.flatnonzero(pc.not_equal(t.column(0), t.column(0)[-1]).to_numpy(zero_copy_only=False))
                 cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
                     yield t.slice(0, cut)
                 held, size = t.slice(cut).to_batches(), t.num_rows - cut
+                enough = max(ROWS, 2 * size)  # a long run is not put together again with every batch
         if size:
             yield pa.Table.from_batches(held).combine_chunks()
 
@@ -248,11 +251,61 @@ def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
+def _forward(model: Model, symbols: np.ndarray, before: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward states of one text's stretch and their scales; before: the state ahead of it, or the start."""
+    emitted = model.emit[symbols]
+    forward, scale = np.empty_like(emitted), np.empty(len(symbols))
+    now = before
+    for t in range(len(symbols)):
+        now = (now if first and t == 0 else now @ model.move) * emitted[t]
+        scale[t] = now.sum()
+        now = now / scale[t]
+        forward[t] = now
+    return forward, scale
+
+
+def _walk_long(model: Model, symbols: np.ndarray, counts: np.ndarray | None) -> float:
+    """walk() of one long text by stretches: forward over all, holding the states ahead of each, then back, each stretch's forward states made again."""
+    cuts = range(0, len(symbols), STRETCH)
+    now, total, ahead = model.start, 0.0, []
+    for at in cuts:
+        ahead.append(now)
+        forward, scale = _forward(model, symbols[at : at + STRETCH], now, at == 0)
+        now, total = forward[-1], total + np.log10(scale).sum()
+    if counts is None:
+        return total
+    states = model.emit.shape[1]
+    s, after = len(model.emit) * states, np.ones(states)
+    for at, before in zip(reversed(cuts), reversed(ahead), strict=True):
+        part = symbols[at : at + STRETCH]
+        forward, scale = _forward(model, part, before, at == 0)
+        emitted = model.emit[part] / scale[:, None]
+        backward = np.empty_like(forward)
+        backward[-1] = after
+        for t in range(len(part) - 2, -1, -1):
+            backward[t] = model.move @ (emitted[t + 1] * backward[t + 1])
+        each, later = forward * backward, emitted * backward
+        for k in range(states):
+            counts[k:s:states] += np.bincount(part, weights=each[:, k], minlength=len(model.emit))
+        moved = counts[s : s + states * states]
+        moved += (model.move * (forward[:-1].T @ later[1:])).ravel()
+        if at:
+            moved += (model.move * np.outer(before, later[0])).ravel()
+        else:
+            counts[s + states * states :] += each[0]
+        after = model.move @ later[0]
+    return total
+
+
 def walk(model: Model, symbols: np.ndarray, lengths: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """log10 likelihood of each text; adds expected counts to `counts` (as next_model reads them) if given."""
     starts, out = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
     states = model.emit.shape[1]
-    for chosen in _groups(lengths):
+    for i in np.flatnonzero(lengths > STRETCH):
+        out[i] = _walk_long(model, symbols[starts[i] : starts[i] + lengths[i]], counts)
+    short = np.flatnonzero(lengths <= STRETCH)
+    for chosen in _groups(lengths[short]):
+        chosen = short[chosen]
         n = lengths[chosen]
         # Time-major layout: the texts that are still going on at time t lie together, longest first.
         active = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")

@@ -65,6 +65,21 @@ def test_forward_is_the_sum_over_paths():
     assert math.isclose(sum(10 ** hmm.walk(m, np.concatenate(every), np.full(64, 3))), 1)
 
 
+def test_a_long_text_in_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    m = hmm.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((5, 3)), 0))
+    lengths = np.array([4, 1, 29, 12, 5, 8])
+    symbols = rng.integers(0, 5, lengths.sum())
+    whole = np.zeros(15 + 9 + 3)
+    want = hmm.walk(m, symbols, lengths, whole)
+    for stretch in (1, 4, 7):
+        monkeypatch.setattr(hmm, "STRETCH", stretch)
+        counts = np.zeros_like(whole)
+        assert np.allclose(hmm.walk(m, symbols, lengths, counts), want) and np.allclose(hmm.walk(m, symbols, lengths), want)
+        assert np.allclose(counts, whole)
+
+
 def test_rounds_raise_the_likelihood(monkeypatch):
     monkeypatch.setattr(hmm, "PRIOR", 1e-6)
     rng = np.random.default_rng(2)
