@@ -5,11 +5,12 @@ reference fingerprints (pivots). As |d(x, p) - d(y, p)| <= d(x, y) for each pivo
 differ by more than the radius anywhere is no link. The pivots are rows of the Walsh-Hadamard matrix,
 which are all 32 bits apart, so that coordinates are uncorrelated and tell as much as they can.
 
-1. The first coordinates deal the table out: each is cut into cells twice as wide as the radius, and a row whose
-   coordinate is within the radius of the next cell is there too. Pairs within the radius meet in the cell of the greater
+1. The first coordinates deal the table out: each is cut in the middle, and a row of the lower cell whose coordinate is
+   within the radius of the upper one is there too. Pairs within the radius meet in the cell of the greater
    of their coordinates, in all coordinates at once, so no link is lost, however many coordinates are used.
 2. Over-full cells are cut further, by the next pivots; what is still over-full after the last pivot, by pairs of blocks.
-3. Within a cell, pairs are discarded by the maximum difference of all coordinates; survivors are verified on the fingerprints.
+3. A task cuts its cells by the pivots that are left, in its memory, so that rows in both halves are not shuffled.
+4. Within a cell, pairs are discarded by the maximum difference of all coordinates; survivors are verified on the fingerprints.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from ridgeline.llm.common import checkpoint, connected_components, mixed, packed
 
 SEED = 42
 #: Fingerprints that may meet in one cell; fuller cells are cut further.
-CELL = 2048
+CELL = 1 << 14
+#: Fingerprints of a cell that a task compares at once; it cuts fuller ones while there are pivots. Cells a table is dealt into at least, about.
+LEAF, CELLS = 512, 16
 #: Rows 1 to 24 of the Walsh-Hadamard matrix of order 64.
 PIVOTS = np.array([sum((j & i).bit_count() % 2 << i for i in range(64)) for j in range(1, 25)], dtype=np.uint64)
+#: Where coordinates are cut: random ones lie about 32, all even or all odd.
+MIDDLE = 33
 #: Share of random fingerprints that a random one meets in a coordinate's cells, about: it settles how many pivots cut at once.
-SHARE = 0.4
+SHARE = 0.6
 #: Parts in which the rows of one group are named.
 SALTS = 16
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -110,12 +115,13 @@ def _read(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def cells(cell: np.ndarray, far: np.ndarray, pivots: range, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of each row in each finer cell that it belongs to, by the given pivots' coordinates."""
-    row, width = np.arange(len(cell)), max(1, 2 * radius)
+    row = np.arange(len(cell))
     for p in pivots:
-        c = far[row, p].astype(np.int64)
-        home, up = c // width, c % width >= width - radius
-        row, place, cell = np.concatenate([row, row[up]]), np.concatenate([home, home[up] + 1]), np.concatenate([cell, cell[up]])
-        cell = mixed(cell * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) + np.uint64(1))
+        c = far[row, p]
+        upper = c >= MIDDLE
+        both = np.flatnonzero(~upper & (c >= MIDDLE - radius))
+        row, upper, cell = np.concatenate([row, row[both]]), np.concatenate([upper, np.ones(len(both), dtype=bool)]), np.concatenate([cell, cell[both]])
+        cell = mixed(cell * np.uint64(0x9E3779B97F4A7C15) + upper.astype(np.uint64) + np.uint64(1))
     return row, cell
 
 
@@ -131,26 +137,56 @@ def _deal(table: DataFrame, pivots: range, radius: int) -> DataFrame:
     return table.select("cell", "fp", "far").mapInArrow(run, _TABLE)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: each node but the least of its tree, with that least node."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a spanning forest of least weight (Boruvka)."""
+    _, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = inverse[: len(a)], inverse[len(a) :]
-    low = np.arange(len(nodes))
+    order = np.argsort(weight, kind="stable")
+    u, v, left, taken = u[order], v[order], np.arange(len(a)), []
+    low = np.arange(int(inverse.max()) + 1 if len(inverse) else 0)
     while True:
-        m = np.minimum(low[u], low[v])
-        new = low.copy()
-        np.minimum.at(new, low[u], m)
-        np.minimum.at(new, low[v], m)
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        if np.array_equal(new, low):
+        x, y = low[u[left]], low[v[left]]
+        between = x != y
+        left, x, y = left[between], x[between], y[between]
+        if not len(left):
+            return np.sort(order[np.unique(np.concatenate(taken))]) if taken else np.empty(0, dtype=np.int64)
+        least = np.full(len(low), len(order))
+        np.minimum.at(least, x, left)
+        np.minimum.at(least, y, left)
+        roots = np.flatnonzero(least < len(order))
+        edge = least[roots]
+        taken.append(edge)
+        # Each group goes over its least link; of two that choose the same one, the smaller stays.
+        p, q = low[u[edge]], low[v[edge]]
+        to = np.where(p == roots, q, p)
+        up = np.arange(len(low))
+        up[roots] = to
+        up[roots[(up[to] == roots) & (roots < to)]] = roots[(up[to] == roots) & (roots < to)]
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        low = up[low]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links, of the nearest."""
+    kept = spanning(a, b, np.bitwise_count(a ^ b))
+    return a[kept], b[kept]
+
+
+def task_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int, pivots: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """cell_links() of the cells after those of more than LEAF rows are cut by the given pivots, one after another."""
+    row = np.arange(len(cell))
+    for p in pivots:
+        _, at, size = np.unique(cell, return_inverse=True, return_counts=True)
+        full = size[at] > LEAF
+        if not full.any():
             break
-        low = new
-    rest = low != np.arange(len(nodes))
-    return nodes[rest], nodes[low[rest]]
+        some = row[~full]
+        yield cell_links(cell[~full], fps[some], far[some], radius)
+        some = row[full]
+        finer, cell = cells(cell[full], far[some], range(p, p + 1), radius)
+        row = some[finer]
+    yield cell_links(cell, fps[row], far[row], radius)
 
 
 def cell_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,32 +223,32 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     """
     parts = parts_of(prints)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, 1, 16 * CELL):
-            a, b = cell_links(*_read(t), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def linked(table: DataFrame, pivots: range) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in whole_runs(batches, 1, 2 * CELL):
+                for a, b in task_links(*_read(t), radius, pivots):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    def linked(table: DataFrame) -> DataFrame:
         return table.select("cell", "fp", "far").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
-    rest, n = pivot_table(prints), prints.count()
+    rest, n, last = pivot_table(prints), prints.count(), len(PIVOTS) - 1
     cut, found = 0, None
-    step = min(len(PIVOTS) - 1, math.ceil(math.log(max(1, n / CELL * 4)) / -math.log(SHARE)))
+    step = min(last, math.ceil(math.log(max(CELLS, n / CELL)) / -math.log(SHARE)))
     while True:
         dealt = _deal(rest, range(cut, cut + step), radius)
         cut, step = cut + step, 1
         sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
         met = packed_checkpoint(dealt.join(sizes, "cell"))
-        some = linked(met.where(F.col("n") <= CELL))
+        some = linked(met.where(F.col("n") <= CELL), range(cut, last))
         found = some if found is None else found.union(some)
         rest = met.where(F.col("n") > CELL)
         if rest.isEmpty():
             return found.distinct()
-        if cut == len(PIVOTS) - 1:
+        if cut == last:
             blocks = rest.withColumn("k", F.ceil(F.col("n") / F.lit(CELL))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")))
             pairs = blocks.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
             cell = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
-            return found.union(linked(pairs.withColumn("cell", cell))).distinct()
+            return found.union(linked(pairs.withColumn("cell", cell), range(0))).distinct()
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -114,3 +114,37 @@ def test_coordinates_bound_the_distance():
 def test_extra_columns(spark):
     rows = [(1, "a b c d", "x", 5), (2, "a b c d", "y", 6)]
     assert [r[2] for r in ours(spark, rows, "doc_id long, text string, fp string, component_id int")] == [1, 1]
+
+
+def test_rows_dealt_follow_the_fingerprints(spark, monkeypatch):
+    dealt, keep = [], simhash.packed_checkpoint
+    monkeypatch.setattr(simhash, "packed_checkpoint", lambda df: dealt.append(keep(df)) or dealt[-1])
+    for n in (8_000, 40_000):
+        dealt.clear()
+        prints = np.random.default_rng(n).integers(-(2**63), 2**63, n, dtype=np.int64)
+        simhash.links(spark.createDataFrame([(int(p),) for p in prints], "fp long"), 2)
+        assert sum(df.count() for df in dealt) <= 4 * n
+
+
+def test_cells_are_cut_in_a_task(monkeypatch):
+    prints = np.array(clusters(), dtype=np.uint64)
+    found = []
+    for leaf in (simhash.LEAF, 30, 5):
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        far = simhash.coordinates(prints.view(np.int64))
+        links = [np.column_stack(x) for x in simhash.task_links(np.zeros(len(prints), dtype=np.uint64), prints.view(np.int64), far, 2, range(23))]
+        a, b = np.concatenate(links).T
+        assert (np.bitwise_count(a ^ b) <= 2).all()
+        kept = simhash.spanning(a, b, np.bitwise_count(a ^ b))
+        found.append((len(kept), int(np.bitwise_count(a ^ b)[kept].sum())))
+    assert len(set(found)) == 1
+
+
+def test_a_large_graph_is_walked_by_stars(spark, monkeypatch):
+    from ridgeline.llm import common
+
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))], "a long, b long")
+    one = sorted(map(tuple, common.connected_components(edges).collect()))
+    monkeypatch.setattr(common, "FEW", 0)
+    assert one == sorted(map(tuple, common.connected_components(edges).collect()))
