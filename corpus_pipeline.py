@@ -16,8 +16,8 @@ from ridgeline.llm.common import prepare
 
 #: Least probability of the likeliest language; texts below it, and those without letters, go.
 LEAST_LANGUAGE = 0.4
-#: Words of a shingle; near-duplicates have similarity 0.8 or more over their sets of shingles.
-SHINGLE = 5
+#: Words of a shingle; near-duplicates have similarity 0.8 or more over their sets of shingles. Bits up to which fingerprints meet.
+SHINGLE, RADIUS = 5, 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.one_of_each(docs, SHINGLE)
+    """One of each group of links: by fingerprint, verified; links of more differing bits by the shingles themselves."""
+    return shingles.one_of_each(docs, SHINGLE, RADIUS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Near-duplicates of an exact least similarity of their sets of word shingles.
+"""SimHash near-duplicates, held to an exact least similarity of their sets of word shingles.
 
-Texts of one shingle set are one node. Under any one order of all shingles, two sets of similarity 0.8 or
-more share a shingle among the first n - ceil(0.8 n) + 1 of each (prefix filter), so they meet in the bucket
-of the first shingle they share. Shingles found frequent stand last in the order; which these are bears on
-the time alone. Buckets give candidate pairs, and each becomes a link only by its whole sets:
+Texts of one shingle set are one node, with the SimHash fingerprint of that set (each shingle once, so that a
+repeated line does not settle the bits). Candidate pairs become links only by their whole sets:
 
-1. Small buckets give all their pairs, fuller ones neighbours by node.
-2. Fuller buckets whose nodes are not yet one group give all pairs between groups that may reach 0.8 by their
-   profiles (how many shingles fall into each of PROFILE classes bounds what two sets can share), dealt by pairs
-   of blocks. Pairs come in parts, by a hash, the last part being all the rest: links found in one spare the
-   pairs they settle in the next.
+1. Fingerprints of few differing bits meet in the pivot tables of simhash.py, which lose none.
+2. Pairs of similarity 0.8 differ in about 10 bits, too many for any loss-free search over fingerprints. Under any one
+   order of all shingles, two such sets share a shingle among the first n - ceil(0.8 n) + 1 of each (prefix filter), so
+   they meet in the bucket of the first shingle they share. Shingles found frequent stand last in the order; which these
+   are bears on the time alone. Small buckets give all their pairs, fuller ones neighbours by node.
+3. Fuller buckets whose nodes are not yet one group are compared by fingerprint, dealt by pairs of blocks, in parts:
+   the nearest pairs, as many as could join the groups there; of each two groups still apart, some nearest pairs; all
+   pairs between groups still apart. Pairs that can't reach 0.8 by their profiles (how many shingles fall into each of
+   PROFILE classes bounds what two sets can share) are none of these.
 
 So pairs of similarity 0.8 or more are all in one group, and no group is held by less.
 """
@@ -25,9 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import checkpoint, connected_components, prepare
-from ridgeline.llm.simhash import shingle_hashes
-from ridgeline.llm.common import chunks as _chunks, longs as _long, mixed, sorted_runs as _sorted_runs, whole_runs
+from ridgeline.llm import simhash
+from ridgeline.llm.common import checkpoint, connected_components, let_go, prepare
+from ridgeline.llm.simhash import majority_bits, shingle_hashes, spanning
+from ridgeline.llm.common import chunks as _chunks, longs as _long, sorted_runs as _sorted_runs, whole_runs
 
 #: Shingles that stand last in the order, and how often a chunk of input must have one to name it.
 FREQUENT, OFTEN = 1 << 16, 4
@@ -35,9 +38,9 @@ FREQUENT, OFTEN = 1 << 16, 4
 SMALL, NEXT = 8, 3
 #: Nodes of a block of a fuller bucket.
 BLOCK = 1024
-#: Classes of shingles in a profile; shares of pairs between groups that are settled by each part.
-PROFILE, SHARES = 128, (1 / 64, 1 / 8, 1.0)
-#: Ways in which the nodes of a group are dealt where the group gets a name.
+#: Classes of shingles in a profile. Most differing bits of pairs that a fuller bucket is compared by first, and pairs of each two groups next.
+PROFILE, BITS, EACH = 128, 10, 16
+#: Ways in which the nodes of a group are dealt where the group gets a name, and the pairs of a text where they are checked.
 SALTS = 16
 #: Bits of the filter of candidate texts.
 FILTER = 1 << 26
@@ -117,12 +120,23 @@ def profile(shingles: np.ndarray) -> bytes:
     return np.bincount((shingles >> np.uint64(11)).astype(np.int64) % PROFILE, minlength=PROFILE).astype(np.uint16).tobytes() if len(shingles) < 1 << 16 else b""
 
 
-def _blocks(low: float, high: float):
-    """Of sorted (token, lo, hi, block, node, n, pos, component, profile): candidate pairs between groups whose hash is in that part."""
+def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which pairs are among the EACH nearest of the two groups x and y."""
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((far, y, x))
+    new = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])[: len(x)]
+    start = np.flatnonzero(new)
+    return order[np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < EACH]
+
+
+def _blocks(part: int):
+    """Of sorted (token, lo, hi, block, node, n, pos, component, fp, profile): candidate pairs between groups. Part 0 is a spanning forest of
+    the nearest up to BITS bits, 1 EACH pairs of every two groups, 2 all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, 3):
-            token, lo, hi, block, node, n, pos, component = (_long(t.column(k)) for k in range(8))
+            token, lo, hi, block, node, n, pos, component, fp = (_long(t.column(k)) for k in range(9))
+            fp = fp.view(np.uint64)
             raw = t.column("profile").to_pylist()
             bounded = np.array([len(x) > 0 for x in raw])
             classes = np.frombuffer(b"".join(x or bytes(2 * PROFILE) for x in raw), dtype=np.uint16).reshape(-1, PROFILE)
@@ -131,18 +145,21 @@ def _blocks(low: float, high: float):
             for s, e in zip(start[:-1], start[1:], strict=True):
                 of = np.arange(s, e)
                 left, right = of[block[s:e] == lo[s]], of[block[s:e] == hi[s]]
-                a, b = [], []
+                a, b = [left[:0]], [left[:0]]
                 for i in left:
                     j = right[right > i] if lo[s] == hi[s] else right
                     j = j[(component[j] != component[i]) & _may_be(np.full(len(j), i), j, n, pos)]
-                    first, second = np.minimum(node[i], node[j]).view(np.uint64), np.maximum(node[i], node[j]).view(np.uint64)
-                    share = mixed(mixed(first) * np.uint64(0x9E3779B97F4A7C15) + second) / 2.0**64
-                    j = j[(share >= low) & ((share < high) | (high >= 1))]
+                    if part == 0:
+                        j = j[np.bitwise_count(fp[j] ^ fp[i]) <= BITS]
                     most = np.minimum(classes[j], classes[i]).sum(axis=1, dtype=np.int64)
                     j = j[alike(most, n[i], n[j]) | ~bounded[j] | ~bounded[i]]
-                    a.append(np.full(len(j), node[i]))
-                    b.append(node[j])
-                found = _pairs(a, b)
+                    a.append(np.full(len(j), i))
+                    b.append(j)
+                a, b = np.concatenate(a), np.concatenate(b)
+                if part < 2:
+                    kept = (spanning, _nearest)[part](component[a], component[b], np.bitwise_count(fp[a] ^ fp[b]))
+                    a, b = a[kept], b[kept]
+                found = _pairs([node[a]], [node[b]])
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
     return run
@@ -170,7 +187,7 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int) ->
         key, mine = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
             a, b = [], []
-            for of, node, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for of, node, packed in zip(*(batch.column(c).to_pylist() for c in ("of", "node", "packed")), strict=True):
                 s = shingle_set(zlib.decompress(packed).decode(), width)
                 if node == of:
                     key, mine = of, s
@@ -181,10 +198,11 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int) ->
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    # The text of a node goes to its pairs' lesser nodes, whose own text comes first there.
+    # The text of a node goes to its pairs' lesser nodes, whose own text comes first there; a node of many pairs is dealt SALTS ways.
     whole = _source(docs).mapInArrow(texts, "node long, packed binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    to = pairs.select(F.col("b").alias("node"), F.col("a").alias("of")).union(pairs.select("a", "a").distinct())
-    dealt = whole.join(to, "node").select("of", "node", "packed").repartition(parts, "of").sortWithinPartitions("of", F.col("node") != F.col("of"))
+    dealt = pairs.withColumn("way", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    to = dealt.select(F.col("b").alias("node"), F.col("a").alias("of"), "way").union(dealt.select("a", "a", "way").distinct())
+    dealt = whole.join(to, "node").select("of", "way", "node", "packed").repartition(parts, "of", "way").sortWithinPartitions("of", "way", F.col("node") != F.col("of"))
     return checkpoint(dealt.mapInArrow(check, "a long, b long"))
 
 
@@ -210,9 +228,20 @@ def joined(of: DataFrame | None, links: DataFrame) -> DataFrame:
     return checkpoint(moved.select("node", F.coalesce("to", "component").alias("component")).union(new))
 
 
-def groups(docs: DataFrame, width: int) -> DataFrame:
+def near_prints(named: DataFrame, radius: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes by fingerprints of at most `radius` differing bits: as few as join all that these join. named: (node, fp)."""
+    prints = checkpoint(named.groupBy("fp").agg(F.min("node").alias("first")))
+    same = named.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first, second = (prints.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)) for c in ("a", "b"))
+    met = simhash.links(prints.select("fp"), radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return same.union(met.join(first, "fp_a").join(second, "fp_b").select(F.least("a", "b"), F.greatest("a", "b")))
+
+
+def groups(docs: DataFrame, width: int, radius: int = 3) -> DataFrame:
     """(doc_id, version, component_id) for each row of docs; component_id is the smallest doc_id reachable over links.
 
+    Links are pairs of similarity 0.8 or more; those whose fingerprints differ in at most `radius` bits are found by these.
+
     version is the hash of the text. A null doc_id takes part, but is never a component_id unless all of
     the group are null. Null and empty texts have the empty set and are alike.
     """
@@ -224,18 +253,19 @@ def groups(docs: DataFrame, width: int) -> DataFrame:
         for t in filter(len, _chunks(batches)):
             sets = [shingle_set(x, width) for x in t.column("text").to_pylist()]
             nodes = [node_of(s) for s in sets]
+            prints = np.array([majority_bits(s) for s in sets], dtype=np.uint64).view(np.int64)
             count = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("version").combine_chunks(), pa.array(nodes, pa.int64()), count, pa.array(map(profile, sets), pa.binary())], names=["doc_id", "version", "node", "count", "profile"])
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("version").combine_chunks(), pa.array(nodes, pa.int64()), count, pa.array(map(profile, sets), pa.binary()), pa.array(prints)], names=["doc_id", "version", "node", "count", "profile", "fp"])
             once = list(dict(zip(nodes, sets, strict=True)).values())
             token, count = np.unique(np.concatenate(once), return_counts=True)
             token, count = token[count >= OFTEN].view(np.int64), count[count >= OFTEN].astype(np.int64)
             none = pa.nulls(len(token), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(token), pa.array(count), pa.nulls(len(token), pa.binary())], names=["doc_id", "version", "node", "count", "profile"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(token), pa.array(count), pa.nulls(len(token), pa.binary()), none], names=["doc_id", "version", "node", "count", "profile", "fp"])
 
-    told = checkpoint(_source(docs).mapInArrow(facts, "doc_id long, version long, node long, count long, profile binary"))
+    told = checkpoint(_source(docs).mapInArrow(facts, "doc_id long, version long, node long, count long, profile binary, fp long"))
     rows = told.where("count IS NULL").select("doc_id", "version", "node")
-    named = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("version").alias("version")))
-    profiles = told.where("count IS NULL").select("node", "profile")
+    named = checkpoint(told.where("count IS NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("version").alias("version"), F.min("fp").alias("fp")))
+    profiles = told.where("count IS NULL").select("node", "profile", "fp")
     top = told.where("count IS NOT NULL").groupBy("node").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
     token, count = (np.asarray(c.to_numpy()).astype(np.int64) for c in top.columns)
     order = np.argsort(token.view(np.uint64))
@@ -259,17 +289,19 @@ def groups(docs: DataFrame, width: int) -> DataFrame:
         .sortWithinPartitions("token", "node")
         .mapInArrow(_buckets, "token long, node long, n long, pos long")
     )
-    of = joined(None, verified(met.where("token IS NULL").select(F.col("node").alias("a"), F.col("n").alias("b")), docs, named, width))
-    for low, high in zip((0.0, *SHARES), SHARES, strict=False):
+    small = met.where("token IS NULL").select(F.col("node").alias("a"), F.col("n").alias("b"))
+    of = joined(None, verified(near_prints(named.select("node", "fp"), radius).union(small), docs, named, width))
+    for part in range(3):
+        let_go(spark)
         full = met.where("token IS NOT NULL").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = full.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         rest = checkpoint(full.join(open_.select("token", "k"), "token"))
         if rest.isEmpty():
             break
-        shown = profiles.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("profile").alias("profile"))
+        shown = profiles.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("profile").alias("profile"), F.min("fp").alias("fp"))
         dealt = rest.join(shown, "node").withColumn("block", F.expr("pmod(xxhash64(node), k)")).withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
-        dealt = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "pos", "component", "profile")
-        between = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_blocks(low, high), "a long, b long")
+        dealt = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "pos", "component", "fp", "profile")
+        between = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_blocks(part), "a long, b long")
         of = joined(of, verified(between, docs, named, width))
     every = named.join(of, "node", "left")
     low = every.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("low"))
@@ -277,11 +309,11 @@ def groups(docs: DataFrame, width: int) -> DataFrame:
     return rows.join(told, "node").select("doc_id", "version", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int, radius: int = 3) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the least of their group.
 
     A row that repeats another in doc_id and text goes; rows without a doc_id cannot be named and stay.
     """
-    kept = groups(docs, width).where("doc_id = component_id").select("doc_id", F.col("version").alias("__version")).distinct()
+    kept = groups(docs, width, radius).where("doc_id = component_id").select("doc_id", F.col("version").alias("__version")).distinct()
     marked = docs.where("doc_id IS NOT NULL").withColumn("__version", F.xxhash64(F.col("text").cast("string")))
     return marked.join(kept, ["doc_id", "__version"], "left_semi").dropDuplicates(["doc_id", "__version", "text"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))

@@ -4,7 +4,7 @@ import random
 import corpus_pipeline as cp
 import numpy as np
 import pytest
-from ridgeline.llm import shingles
+from ridgeline.llm import shingles, simhash
 
 from tests.llm.test_pipeline import frame, made
 
@@ -105,3 +105,40 @@ def test_groups_joined_by_more_links(spark):
         linked = {x for a, b in every if a != b for x in (a, b)}
         got = [tuple(r) for r in of.collect()]
         assert len(got) == len(dict(got)) and dict(got) == {x: of_node[x] for x in linked}
+
+
+def test_fingerprints_join_near_copies(spark, monkeypatch):
+    """Without any bucket of shingles, pairs of at most 3 bits and similarity 0.8 are still found, by their fingerprints."""
+
+    def no_buckets(batches):
+        for _ in batches:
+            pass
+        return iter(())
+
+    monkeypatch.setattr(shingles, "_buckets", no_buckets)
+    rng, words, rows = random.Random(11), made(11), []
+    for g in range(40):
+        base = words(600)
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(near(rng, words, base, 1))), (3 * g + 2, " ".join(near(rng, words, base, 60)))]
+    sets = [shingles.shingle_set(t, 5) for _, t in rows]
+    prints = [simhash.majority_bits(s) for s in sets]
+    low = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 3 and shingles.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+            low = [low[a] if x == low[b] else x for x in low]
+    want = {d: min(e for (e, _), y in zip(rows, low, strict=True) if y == x) for (d, _), x in zip(rows, low, strict=True)}
+    assert 80 <= len(set(want.values())) < 100
+    assert dict(ours(spark, rows)) == want
+
+
+def test_pairs_of_a_full_bucket_follow_its_nodes(spark, monkeypatch):
+    rng, words = random.Random(12), made(12)
+    base = words(150)
+    rows = [(i, " ".join(near(rng, words, base, rng.choice((1, 2, 3, 4))))) for i in range(400)]
+    asked, verify = [], shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *rest: asked.append(pairs.distinct().count()) or verify(pairs, *rest))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    assert ours(spark, rows) == brute(rows)
+    assert len(asked) >= 1 and sum(asked) <= 12 * len(rows), asked
+    print("jobs", len(tracker.getJobIdsForGroup()) - before)
