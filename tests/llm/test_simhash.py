@@ -148,3 +148,16 @@ def test_a_large_graph_is_walked_by_stars(spark, monkeypatch):
     one = sorted(map(tuple, common.connected_components(edges).collect()))
     monkeypatch.setattr(common, "FEW", 0)
     assert one == sorted(map(tuple, common.connected_components(edges).collect()))
+
+
+def test_few_links_are_walked_in_few_jobs(spark):
+    from ridgeline.llm.common import connected_components
+
+    context = spark.sparkContext
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    context.setJobGroup("walk", "a long path")
+    try:
+        assert {r.component for r in connected_components(path).collect()} == {0}
+        assert len(context.statusTracker().getJobIdsForGroup("walk")) <= 12
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
