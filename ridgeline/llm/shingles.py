@@ -11,7 +11,9 @@ repeated line does not settle the bits). Candidate pairs become links only by th
 3. Fuller buckets whose nodes are not yet one group are compared by fingerprint, dealt by pairs of blocks, in parts:
    the nearest pairs, as many as could join the groups there; of each two groups still apart, some nearest pairs; all
    pairs between groups still apart. Pairs that can't reach 0.8 by their profiles (how many shingles fall into each of
-   PROFILE classes bounds what two sets can share) are none of these.
+   PROFILE classes bounds what two sets can share) are none of these. Two long texts share hundreds of buckets, so
+   buckets are dealt by their least node, which like ones have in common, and a task names a pair once for all of its
+   buckets; pairs that an earlier part has verified are not verified again.
 
 So pairs of similarity 0.8 or more are all in one group, and no group is held by less.
 """
@@ -38,6 +40,8 @@ FREQUENT, OFTEN = 1 << 16, 4
 SMALL, NEXT = 8, 3
 #: Nodes of a block of a fuller bucket.
 BLOCK = 1024
+#: Rows of buckets of one least node that go to one task, about; pairs that a task holds before it names them.
+DEALT, HELD = 8 * BLOCK, 1 << 20
 #: Classes of shingles in a profile. Most differing bits of pairs that a fuller bucket is compared by first, and pairs of each two groups next.
 PROFILE, BITS, EACH = 128, 10, 16
 #: Ways in which the nodes of a group are dealt where the group gets a name, and the pairs of a text where they are checked.
@@ -130,18 +134,21 @@ def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 def _blocks(part: int):
-    """Of sorted (token, lo, hi, block, node, n, pos, component, fp, profile): candidate pairs between groups. Part 0 is a spanning forest of
-    the nearest up to BITS bits, 1 EACH pairs of every two groups, 2 all."""
+    """Of sorted (first, way, k, lo, hi, token, block, node, n, pos, component, fp, profile): candidate pairs between groups, each once for
+    all buckets that are dealt together (to HELD pairs). Part 0 is a spanning forest of the nearest up to BITS bits of each bucket, 1 EACH pairs
+    of every two groups, 2 all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, 3):
-            token, lo, hi, block, node, n, pos, component, fp = (_long(t.column(k)) for k in range(9))
+        for t in whole_runs(batches, 5):
+            *dealt, token, block, node, n, pos, component, fp = (_long(t.column(k)) for k in range(12))
+            lo, hi = dealt[-2:]
             fp = fp.view(np.uint64)
             raw = t.column("profile").to_pylist()
             bounded = np.array([len(x) > 0 for x in raw])
             classes = np.frombuffer(b"".join(x or bytes(2 * PROFILE) for x in raw), dtype=np.uint16).reshape(-1, PROFILE)
-            new = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            new = np.any([c[1:] != c[:-1] for c in (*dealt, token)], axis=0)
             start = np.flatnonzero(np.concatenate([[True], new, [True]]))
+            found, held = [_pairs([], [])], 0
             for s, e in zip(start[:-1], start[1:], strict=True):
                 of = np.arange(s, e)
                 left, right = of[block[s:e] == lo[s]], of[block[s:e] == hi[s]]
@@ -159,16 +166,25 @@ def _blocks(part: int):
                 if part < 2:
                     kept = (spanning, _nearest)[part](component[a], component[b], np.bitwise_count(fp[a] ^ fp[b]))
                     a, b = a[kept], b[kept]
-                found = _pairs([node[a]], [node[b]])
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+                found.append(_pairs([node[a]], [node[b]]))
+                held += len(a)
+                if held > HELD:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    if (held := len(found[0])) > HELD // 2:
+                        yield _named(found[0])
+                        found, held = [_pairs([], [])], 0
+            yield _named(np.unique(np.concatenate(found), axis=0))
 
     return run
 
 
+def _named(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have similarity 0.8 or more. named: (node, version) of one text each."""
+    """The pairs (a, b) of nodes whose shingle sets have similarity 0.8 or more. pairs are distinct and checkpointed; named: (node, version) of one text each."""
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = checkpoint(pairs.distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     bit = F.col("version").bitwiseAND(F.lit(FILTER - 1))
     words = nodes.join(named, "node").groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((version & {FILTER - 1}) & 63 as int))")).alias("word")).toArrow()
@@ -290,19 +306,25 @@ def groups(docs: DataFrame, width: int, radius: int = 3) -> DataFrame:
         .mapInArrow(_buckets, "token long, node long, n long, pos long")
     )
     small = met.where("token IS NULL").select(F.col("node").alias("a"), F.col("n").alias("b"))
-    of = joined(None, verified(near_prints(named.select("node", "fp"), radius).union(small), docs, named, width))
+    asked = checkpoint(near_prints(named.select("node", "fp"), radius).union(small).distinct())
+    of = joined(None, verified(asked, docs, named, width))
     for part in range(3):
         let_go(spark)
         full = met.where("token IS NOT NULL").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = full.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rest = checkpoint(full.join(open_.select("token", "k"), "token"))
+        open_ = full.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("k"), F.count("*").alias("size"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        open_ = checkpoint(open_.select("token", "k", "size", "first"))
+        ways = open_.groupBy("first", "k").agg(F.ceil(F.sum("size") / F.lit(DEALT) / F.col("k")).alias("ways"))
+        open_ = open_.join(ways, ["first", "k"]).select("token", "first", "k", F.expr("pmod(xxhash64(token), ways)").alias("way"))
+        rest = checkpoint(full.join(open_, "token"))
         if rest.isEmpty():
             break
         shown = profiles.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("profile").alias("profile"), F.min("fp").alias("fp"))
         dealt = rest.join(shown, "node").withColumn("block", F.expr("pmod(xxhash64(node), k)")).withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
-        dealt = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "pos", "component", "fp", "profile")
-        between = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_blocks(part), "a long, b long")
-        of = joined(of, verified(between, docs, named, width))
+        dealt = dealt.select("first", "way", "k", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "token", "block", "node", "n", "pos", "component", "fp", "profile")
+        cell = ["first", "way", "k", "lo", "hi"]
+        between = dealt.repartition(parts, *cell).sortWithinPartitions(*cell, "token").mapInArrow(_blocks(part), "a long, b long")
+        between = checkpoint(between.distinct().join(asked, ["a", "b"], "left_anti"))
+        of, asked = joined(of, verified(between, docs, named, width)), asked.union(between)
     every = named.join(of, "node", "left")
     low = every.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("low"))
     told = _salted(every, low).select("node", F.coalesce("low", "least").alias("component_id"))

@@ -142,3 +142,34 @@ def test_pairs_of_a_full_bucket_follow_its_nodes(spark, monkeypatch):
     assert ours(spark, rows) == brute(rows)
     assert len(asked) >= 1 and sum(asked) <= 12 * len(rows), asked
     print("jobs", len(tracker.getJobIdsForGroup()) - before)
+
+
+@pytest.mark.parametrize("dealt, held", [(shingles.BLOCK * 8, 1 << 20), (16, 8)])
+def test_a_pair_of_many_buckets_is_named_and_verified_once(spark, monkeypatch, dealt, held):
+    """Long texts of similarity about 0.7 share scores of full buckets: their pairs must not come once for each of these."""
+    monkeypatch.setattr(shingles, "DEALT", dealt, raising=False)
+    monkeypatch.setattr(shingles, "HELD", held, raising=False)
+    rng, words, rows = random.Random(13), made(13), []
+    for g in range(3):
+        base = words(400)
+        rows += [(20 * g + i, " ".join(near(rng, words, base, rng.choice((5, 6, 7))))) for i in range(14)]
+    named, asked = spark.sparkContext.accumulator(0), []
+    blocks, verify = shingles._blocks, shingles.verified
+
+    def counted(part):
+        run = blocks(part)
+
+        def each(batches):
+            for b in run(batches):
+                named.add(b.num_rows)
+                yield b
+
+        return each
+
+    monkeypatch.setattr(shingles, "_blocks", counted)
+    monkeypatch.setattr(shingles, "verified", lambda pairs, *rest: asked.append({tuple(r) for r in pairs.collect()}) or verify(pairs, *rest))
+    assert ours(spark, rows) == brute(rows)
+    every = set().union(*asked)
+    assert len(every) > 200 and sum(map(len, asked)) == len(every)
+    if held > len(every):
+        assert named.value <= 8 * len(every), (named.value, len(every))
