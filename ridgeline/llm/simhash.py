@@ -9,7 +9,8 @@ which are all 32 bits apart, so that coordinates are uncorrelated and tell as mu
    within the radius of the upper one is there too. Pairs within the radius meet in the cell of the greater
    of their coordinates, in all coordinates at once, so no link is lost, however many coordinates are used.
 2. Over-full cells are cut further, by the next pivots; what is still over-full after the last pivot, by pairs of blocks.
-3. A task cuts its cells by the pivots that are left, in its memory, so that rows in both halves are not shuffled.
+3. A task cuts its cells by the pivots that are left, in its memory, so that rows in both halves are not shuffled. Cells
+   that no pivot cuts small enough for a task to compare go by pairs of blocks too.
 4. Within a cell, pairs are discarded by the maximum difference of all coordinates; survivors are verified on the fingerprints.
 """
 
@@ -28,16 +29,16 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import checkpoint, connected_components, mixed, packed_checkpoint, parts_of, prepare, whole_runs
 
 SEED = 42
-#: Fingerprints that may meet in one cell; fuller cells are cut further.
-CELL = 1 << 14
-#: Fingerprints of a cell that a task compares at once; it cuts fuller ones while there are pivots. Cells a table is dealt into at least, about.
-LEAF, CELLS = 512, 16
+#: Fingerprints that may be dealt into one cell; fuller cells are cut further. Those of a cell that a task compares when no pivot is left.
+CELL, COMPARED = 1 << 17, 1 << 14
+#: Fingerprints of a cell that a task compares at once; it cuts fuller ones while there are pivots. Rows of cells that it cuts at once, about.
+LEAF, WALKED = 512, 1 << 16
+#: Pivots that cut a table at first, at least. Times that a cut may multiply the rows of a task's cell; a dense ball is no smaller after more.
+LEAST, WORTH = 6, 1.75
 #: Rows 1 to 24 of the Walsh-Hadamard matrix of order 64.
 PIVOTS = np.array([sum((j & i).bit_count() % 2 << i for i in range(64)) for j in range(1, 25)], dtype=np.uint64)
 #: Where coordinates are cut: random ones lie about 32, all even or all odd.
 MIDDLE = 33
-#: Share of random fingerprints that a random one meets in a coordinate's cells, about: it settles how many pivots cut at once.
-SHARE = 0.6
 #: Parts in which the rows of one group are named.
 SALTS = 16
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -113,13 +114,26 @@ def _read(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndar
     return cell.view(np.uint64), fps, np.frombuffer(b"".join(t.column("far").to_pylist()), dtype=np.int8).reshape(-1, len(PIVOTS))
 
 
+def middle(pivot: int, radius: int) -> int:
+    """Where the coordinate is cut. By an odd radius even fingerprints have more rows in both halves, or odd ones if cut one higher: both in turn."""
+    return MIDDLE + radius % 2 * (pivot % 2)
+
+
+def fullest(radius: int) -> float:
+    """Share of random fingerprints in the fuller half of a cut, the mean of two in turn: it settles how many pivots cut at once."""
+    share = 1.0
+    for cut in (middle(0, radius), middle(1, radius)):
+        share *= max(sum(math.comb(64, c) for c in range(cut)), sum(math.comb(64, c) for c in range(max(0, cut - radius), 65))) / 2**64
+    return math.sqrt(share)
+
+
 def cells(cell: np.ndarray, far: np.ndarray, pivots: range, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of each row in each finer cell that it belongs to, by the given pivots' coordinates."""
     row = np.arange(len(cell))
     for p in pivots:
         c = far[row, p]
-        upper = c >= MIDDLE
-        both = np.flatnonzero(~upper & (c >= MIDDLE - radius))
+        upper = c >= middle(p, radius)
+        both = np.flatnonzero(~upper & (c >= middle(p, radius) - radius))
         row, upper, cell = np.concatenate([row, row[both]]), np.concatenate([upper, np.ones(len(both), dtype=bool)]), np.concatenate([cell, cell[both]])
         cell = mixed(cell * np.uint64(0x9E3779B97F4A7C15) + upper.astype(np.uint64) + np.uint64(1))
     return row, cell
@@ -173,20 +187,35 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[kept], b[kept]
 
 
-def task_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int, pivots: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """cell_links() of the cells after those of more than LEAF rows are cut by the given pivots, one after another."""
-    row = np.arange(len(cell))
-    for p in pivots:
+def task_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int, pivots: range, rest: list | None = None, compared: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """cell_links() of the cells after those of more than LEAF rows are cut by the given pivots, one after another.
+
+    What was cut is taken depth first, about WALKED rows at once. Cells of more than `compared` rows after the last pivot
+    are not compared but put into rest, if there is one: (row, cell, size).
+    """
+    held = [(np.arange(len(cell)), cell, pivots)]
+    while held:
+        row, cell, left = held.pop()
         _, at, size = np.unique(cell, return_inverse=True, return_counts=True)
-        full = size[at] > LEAF
-        if not full.any():
-            break
-        some = row[~full]
-        yield cell_links(cell[~full], fps[some], far[some], radius)
-        some = row[full]
-        finer, cell = cells(cell[full], far[some], range(p, p + 1), radius)
-        row = some[finer]
-    yield cell_links(cell, fps[row], far[row], radius)
+        most = LEAF if left else len(row) if rest is None else compared
+        full = size[at] > most
+        few = row[~full]
+        yield cell_links(cell[~full], fps[few], far[few], radius)
+        row, cell, at = row[full], cell[full], at[full]
+        if not len(row):
+            continue
+        if not left:
+            rest.append((row, cell, size[at]))
+            continue
+        finer, cut = cells(cell, far[row], left[:1], radius)
+        worth = (np.bincount(at[finer], minlength=len(size)) <= WORTH * size)[at[finer]]
+        cut = np.where(worth, cut, cell[finer])
+        kept = np.flatnonzero(worth | (np.arange(len(finer)) < len(row)))
+        kept = kept[np.argsort(cut[kept], kind="stable")]
+        row, cell = row[finer[kept]], cut[kept]
+        border = np.flatnonzero(np.concatenate([cell[1:] != cell[:-1], [True]])) + 1
+        border = np.unique(border[np.searchsorted(border, np.append(np.arange(WALKED, len(cell), WALKED), len(cell)))])
+        held += [(row[lo:hi], cell[lo:hi], left[1:]) for lo, hi in zip([0, *border[:-1]], border, strict=True)]
 
 
 def cell_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,22 +247,39 @@ def cell_links(cell: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int)
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """(a, b): links of at most `radius` differing bits that join the same fingerprints as all of them do. prints: distinct rows (fp).
 
-    A cell of a task holds at most CELL fingerprints (a pair of blocks twice that, about), and only a
-    spanning forest of its links leaves the task, never all pairs.
+    A cell of a task holds at most CELL fingerprints (a pair of blocks 2 * COMPARED, about), and only a
+    spanning forest of its links leaves the task, never all pairs. Every fingerprint is in about as many cells as
+    LEAST pivots give it while the table has up to a million; each further pivot serves about 1.5 times as many.
     """
-    parts = parts_of(prints)
+    parts, compared = parts_of(prints), min(CELL, COMPARED)
 
-    def linked(table: DataFrame, pivots: range) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in whole_runs(batches, 1, 2 * CELL):
-                for a, b in task_links(*_read(t), radius, pivots):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def linked(table: DataFrame, pivots: range, last: bool = False) -> DataFrame:
+        """(a, b, null, null, null), and unless last (a, null, cell, n, far) of cells that are to go by blocks."""
 
-        return table.select("cell", "fp", "far").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in whole_runs(batches, 1, 2 * compared):
+                cell, fps, far = _read(t)
+                rest = None if last else []
+                for a, b in task_links(cell, fps, far, radius, pivots, rest, compared):
+                    none = pa.nulls(len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, pa.nulls(len(a), pa.binary())], names=["a", "b", "cell", "n", "far"])
+                for row, of, n in rest or ():
+                    for lo in range(0, len(row), 50_000):
+                        some = row[lo : lo + 50_000]
+                        table = _rows(of[lo : lo + 50_000], fps[some], far[some])
+                        yield pa.RecordBatch.from_arrays([table.column(1), pa.nulls(len(some), pa.int64()), table.column(0), pa.array(n[lo : lo + 50_000]), table.column(2)], names=["a", "b", "cell", "n", "far"])
+
+        return table.select("cell", "fp", "far").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, cell long, n long, far binary")
+
+    def by_blocks(full: DataFrame) -> DataFrame:
+        blocks = full.withColumn("k", F.ceil(F.col("n") / F.lit(compared))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")))
+        pairs = blocks.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
+        cell = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
+        return linked(pairs.withColumn("cell", cell), range(0), True).select("a", "b")
 
     rest, n, last = pivot_table(prints), prints.count(), len(PIVOTS) - 1
-    cut, found = 0, None
-    step = min(last, math.ceil(math.log(max(CELLS, n / CELL)) / -math.log(SHARE)))
+    cut, found, full = 0, None, None
+    step = min(last, max(LEAST, math.ceil(math.log(max(1, n / CELL)) / -math.log(fullest(radius)))))
     while True:
         dealt = _deal(rest, range(cut, cut + step), radius)
         cut, step = cut + step, 1
@@ -243,12 +289,16 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         found = some if found is None else found.union(some)
         rest = met.where(F.col("n") > CELL)
         if rest.isEmpty():
-            return found.distinct()
+            break
         if cut == last:
-            blocks = rest.withColumn("k", F.ceil(F.col("n") / F.lit(CELL))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")))
-            pairs = blocks.withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
-            cell = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
-            return found.union(linked(pairs.withColumn("cell", cell), range(0))).distinct()
+            full = rest.select("cell", "fp", "n", "far")
+            break
+    found = checkpoint(found)
+    left = found.where("b IS NULL").select("cell", F.col("a").alias("fp"), "n", "far")
+    if not left.isEmpty():
+        full = left if full is None else full.union(left)
+    found = found.where("b IS NOT NULL").select("a", "b")
+    return (found if full is None else found.union(by_blocks(full))).distinct()
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ridgeline.llm import simhash
 
@@ -102,6 +103,16 @@ def test_full_cells_after_the_last_pivot_go_by_pairs_of_blocks(spark, monkeypatc
     check_links(spark, clusters(), 2)
 
 
+@pytest.mark.parametrize("radius", [2, 3])
+def test_cells_that_no_pivot_cuts_go_by_pairs_of_blocks(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "COMPARED", 16)
+    monkeypatch.setattr(simhash, "PIVOTS", simhash.PIVOTS[:4])
+    kept, keep = [], simhash.checkpoint
+    monkeypatch.setattr(simhash, "checkpoint", lambda df: kept.append(keep(df)) or kept[-1])
+    check_links(spark, clusters(), radius)
+    assert kept[0].where("b IS NULL").count() > 100
+
+
 def test_coordinates_bound_the_distance():
     x = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64)
     far = simhash.coordinates(x.view(np.int64)).astype(int)
@@ -126,6 +137,30 @@ def test_rows_dealt_follow_the_fingerprints(spark, monkeypatch):
         assert sum(df.count() for df in dealt) <= 4 * n
 
 
+@pytest.mark.parametrize("radius", [2, 3])
+def test_rows_dealt_grow_with_the_table(spark, monkeypatch, radius):
+    """Cells that pass a bound at some size of the table must not be dealt again and again."""
+    dealt, keep = [], simhash.packed_checkpoint
+    monkeypatch.setattr(simhash, "packed_checkpoint", lambda df: dealt.append(keep(df)) or dealt[-1])
+    rows = []
+    for n in (30_000, 150_000):
+        dealt.clear()
+        simhash.links(spark.range(n).select(F.xxhash64("id").alias("fp")), radius)
+        rows.append(sum(df.count() for df in dealt))
+    assert rows[1] <= 5.5 * rows[0] and rows[1] <= 5 * 150_000, rows
+
+
+def test_a_dense_ball_is_no_more_rows_after_cuts(monkeypatch):
+    """Cuts that leave a ball in both halves are skipped: its pairs are compared once, not once for each cell."""
+    ball = np.unique(np.array([0x9A3C5571E2B4D6F8 ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)], dtype=np.uint64))
+    far, seen, compare = simhash.coordinates(ball.view(np.int64)), [], simhash.cell_links
+    monkeypatch.setattr(simhash, "cell_links", lambda cell, *rest: seen.append(len(cell)) or compare(cell, *rest))
+    found = [np.column_stack(x) for x in simhash.task_links(np.zeros(len(ball), dtype=np.uint64), ball.view(np.int64), far, 3, range(23))]
+    a, b = np.concatenate(found).T
+    assert len(simhash.spanning(a, b, np.bitwise_count(a ^ b))) == len(ball) - 1
+    assert sum(seen) <= 60 * len(ball), sum(seen) / len(ball)
+
+
 def test_cells_are_cut_in_a_task(monkeypatch):
     prints = np.array(clusters(), dtype=np.uint64)
     found = []
